@@ -19,8 +19,8 @@ def drop_newlines(text: Column) -> Column:
 def squeeze_spaces(text: Column) -> Column:
     """Turn each run of spaces into one; tabs stay.
 
-    Most texts hold no run at all, and a byte search for two spaces is far
-    cheaper than a regular expression over the whole text.
+    A byte search for two spaces is far cheaper than a regular expression, so
+    texts without a run skip the latter.
     """
     return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
 
@@ -46,6 +46,10 @@ def slice_between(text: Column, start: Column, end: Column, missing: str = NOT_E
     return F.when(start.isNotNull() & end.isNotNull(), cut).otherwise(F.lit(missing))
 
 
+def slice_to_end(text: Column, start: Column, missing: str = NOT_EXTRACTED) -> Column:
+    return F.when(start.isNotNull(), F.substr(text, start)).otherwise(F.lit(missing))
+
+
 def extract_between(
     text: Column, start_patterns: Sequence[str], end_patterns: Sequence[str], missing: str = NOT_EXTRACTED
 ) -> Column:
@@ -72,7 +76,7 @@ def extract_with_fallback(
 def extract_to_end(text: Column, start_choices: Sequence[Sequence[str]], missing: str = NOT_EXTRACTED) -> Column:
     """From the first occurring group of start patterns to the end of the text."""
     start = F.coalesce(*[first_position(text, group) for group in start_choices])
-    return F.when(start.isNotNull(), F.substr(text, start)).otherwise(F.lit(missing))
+    return slice_to_end(text, start, missing)
 
 
 def token_count(text: Column) -> Column:

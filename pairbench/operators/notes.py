@@ -23,8 +23,19 @@ from pairbench.functions import text as X
 from pairbench.operators import tables
 
 
-def clean_notes(df: DataFrame) -> DataFrame:
-    """Cast visit id and text to string, clean the text and measure it.
+def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    Spark moves a filter below an ordinary projection by repeating the projected
+    expressions in it. Text searches are too dear for that, and it does not
+    happen below a generator, here one that yields one row.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def measure_notes(df: DataFrame) -> DataFrame:
+    """Cast visit id and text to string and take the length of the cleaned text.
 
     Rows without a visit id are dropped: they belong to no visit. The length
     counts characters; its name is part of the data contract.
@@ -42,11 +53,22 @@ def clean_notes(df: DataFrame) -> DataFrame:
                 "deid_service_date": date,
             }
         )
-        .withColumn("note_text_processed", X.clean_note(F.col("note_text")))
-        .withColumn("note_length_words", F.char_length("note_text_processed"))
+        .withColumn("note_length_words", F.char_length(X.clean_note(F.col("note_text"))))
     )
 
 
+def clean_notes(df: DataFrame) -> DataFrame:
+    return df.withColumn("note_text_processed", X.clean_note(F.col("note_text")))
+
+
+def first_clean_notes(cohort: DataFrame) -> DataFrame:
+    """One cleaned note per visit.
+
+    Only raw texts travel: those that stay are cleaned again after the shuffle.
+    """
+    return clean_notes(first_note_per_visit(measure_notes(cohort)))
+
+
 def first_note_per_visit(df: DataFrame) -> DataFrame:
     """The earliest note of each visit, the longest of that time, then the lowest key."""
     return tables.first_per_key(
@@ -63,8 +85,8 @@ def add_section_flags(df: DataFrame, text: str = "note_text_processed") -> DataF
 def add_sections(df: DataFrame, text: str = "note_text_processed") -> DataFrame:
     """History, examination and assessment text of each note.
 
-    The heading positions are columns of their own, so that every slice reuses
-    them instead of searching the text again.
+    The text is searched once for each heading, and every slice reuses the
+    positions.
     """
     note = F.col(text)
     headings = {
@@ -75,19 +97,13 @@ def add_sections(df: DataFrame, text: str = "note_text_processed") -> DataFrame:
     }
     complaint, exam, assessment, course = (F.col(c) for c in headings)
     closing = F.coalesce(assessment, course)
-    return (
-        df.withColumns({c: X.first_position(note, p) for c, p in headings.items()})
-        .withColumns(
-            {
-                "history_text": X.slice_between(note, complaint, exam),
-                "examination_text": X.slice_between(note, exam, closing),
-                "assessment_plan_text": F.when(closing.isNotNull(), F.substr(note, closing)).otherwise(
-                    F.lit(NOT_EXTRACTED)
-                ),
-            }
-        )
-        .drop(*headings)
-    )
+    sections = {
+        "history_text": X.slice_between(note, complaint, exam),
+        "examination_text": X.slice_between(note, exam, closing),
+        "assessment_plan_text": X.slice_to_end(note, closing),
+    }
+    found = bind(df, {c: X.first_position(note, p) for c, p in headings.items()})
+    return bind(found, sections).drop(*headings)
 
 
 def add_token_counts(df: DataFrame, count: Callable[[Column], Column] = X.token_count) -> DataFrame:

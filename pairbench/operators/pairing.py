@@ -30,8 +30,8 @@ def class_seeds(seed: int) -> list[tuple[int, int]]:
     return [(seed + 2 * c, seed + 2 * c + 1) for c in range(_CLASSES)]
 
 
-def _by_class(values: Sequence, number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), number + 1)
+def _at(values: Sequence, index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
 
 
 def balanced_pairs(
@@ -48,33 +48,33 @@ def balanced_pairs(
     """
     seeds = list(seeds or class_seeds(seed))
     levels = refined.filter(F.col("acuitylevel").isin(list(ACUITY_RANK)))
-    ranks, sizes = sampling.stratum_ranks(levels, "acuitylevel", "visit_occurrence_id", seed)
+    ranks, sizes = sampling.stratum_ranks(
+        levels, "acuitylevel", "visit_occurrence_id", seed, strata=len(ACUITY_RANK)
+    )
 
     # One request per class, slot and side, numbered by a range instead of a
     # product of tables.
-    number = F.col("id")
-    requests = refined.sparkSession.range(2 * _CLASSES * n).select(
-        F.pmod(F.floor(number / 2), F.lit(_CLASSES)).cast("int").alias("pair_class"),
-        F.floor(number / (2 * _CLASSES)).alias("slot"),
-        (number % 2).cast("int").alias("side"),
+    length = 2 * _CLASSES * n
+    requests = refined.sparkSession.range(length).select(
+        F.expr(f"id div 2 % {_CLASSES}").cast("int").alias("pair_class"),
+        F.expr(f"id div {2 * _CLASSES}").alias("slot"),
+        F.expr("id % 2").cast("int").alias("side"),
     )
-    flat = [x for pair in PAIR_LEVELS for x in pair]
     place = F.col("pair_class") * 2 + F.col("side")
     requests = requests.withColumns(
         {
-            "acuitylevel": _by_class(flat, place),
-            "seed": _by_class([x for pair in seeds for x in pair], place),
+            "acuitylevel": _at([x for pair in PAIR_LEVELS for x in pair], place),
+            "seed": _at([x for pair in seeds for x in pair], place),
         }
     )
-    digest = F.md5(
-        F.concat_ws("-", "seed", "pair_class", F.when(F.col("side") == 0, "A").otherwise("B"), "slot").cast(
-            "binary"
-        )
-    )
-    picks = sampling.draw(requests, ranks, sizes, "acuitylevel", digest)
+    side = F.when(F.col("side") == 0, "A").otherwise("B")
+    number = sampling.hash_number(F.md5(F.concat_ws("-", "seed", "pair_class", side, "slot").cast("binary")))
+    picks = sampling.draw(requests, ranks, sizes, "acuitylevel", number, length)
     texts = refined.select("visit_occurrence_id", "history_text")
-    sides = picks.join(texts, "visit_occurrence_id").select(
-        "pair_class", "slot", "side", F.struct(*SIDE_COLUMNS).alias("visit")
+    sides = (
+        sampling.broadcast_if_short(picks, length)
+        .join(texts, "visit_occurrence_id")
+        .select("pair_class", "slot", "side", F.struct(*SIDE_COLUMNS).alias("visit"))
     )
     pairs = sides.groupBy("pair_class", "slot").agg(
         F.any_value(F.when(F.col("side") == 0, F.col("visit")), True).alias("A"),

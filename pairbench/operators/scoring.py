@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from pairbench.operators import tables
 from pairbench.schemas import RESPONSES
 from pairbench.sources.files import stage
 
+# The functions below travel to the workers whole, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAIR_ID = "visit_occurrence_id_combined"
 
 # A scorer gets one row as a mapping and returns the response as a string.

@@ -80,7 +80,7 @@ def cohort_funnel(visits: DataFrame, durations: DataFrame, note_metadata: DataFr
 
 def prepare_notes(cohort: DataFrame, count: Callable[[Column], Column] = token_count) -> DataFrame:
     """One cleaned, flagged and sectioned note per visit."""
-    first = notes.first_note_per_visit(notes.clean_notes(cohort))
+    first = notes.first_clean_notes(cohort)
     return notes.add_token_counts(notes.add_sections(notes.add_section_flags(first)), count)
 
 
@@ -102,9 +102,10 @@ def build_pairs(
     """
     drawn = stage(pairing.balanced_pairs(refined, n, seed))
     keep = n * len(pairing.PAIR_LEVELS) // 2
-    pairs = pairing.counterbalance(drawn, keep, split_seed)
-    finished = pairing.add_prompt(pairing.add_level_key(pairing.add_truth(pairs)), count)
-    return sampling.shuffle_rows(finished, ["pair_class", "slot"], split_seed).select(*PAIRS.names)
+    pairs = pairing.add_level_key(pairing.add_truth(pairing.counterbalance(drawn, keep, split_seed)))
+    # Prompts repeat both histories, so they are put together after the shuffle.
+    shuffled = sampling.shuffle_rows(pairs, ["pair_class", "slot"], split_seed)
+    return pairing.add_prompt(shuffled, count).select(*PAIRS.names)
 
 
 def evaluate(

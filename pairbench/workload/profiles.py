@@ -182,7 +182,7 @@ def cohort_stats(spark, folder):
     ["flagged"],
 )
 def section_prevalence(spark, folder):
-    first = notes.first_note_per_visit(notes.clean_notes(inputs.cohort(spark, folder)))
+    first = notes.first_clean_notes(inputs.cohort(spark, folder))
     return profile.section_prevalence(notes.add_section_flags(first))
 
 

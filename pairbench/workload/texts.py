@@ -134,7 +134,7 @@ def token_count_tokenizer(spark, folder):
     ["first_notes"],
 )
 def first_note_per_visit(spark, folder):
-    first = notes.first_note_per_visit(notes.clean_notes(inputs.cohort(spark, folder)))
+    first = notes.first_clean_notes(inputs.cohort(spark, folder))
     return first.select(
         "visit_occurrence_id", "deid_note_key", "deid_service_date", "note_length_words", "note_text_processed"
     )
