@@ -85,9 +85,10 @@ def score_pairs(
     partitions = partitions or pairs.sparkSession.sparkContext.defaultParallelism
     pause = partitions * QUOTA_SECONDS / calls_per_minute if calls_per_minute else 0.0
     prompts = pairs.select(PAIR_ID, "prompt", *inputs).dropDuplicates([PAIR_ID, "prompt"])
-    return prompts.repartition(partitions, PAIR_ID, "prompt").mapInPandas(
-        scoring_task(scorer, pause), schema=RESPONSES
-    )
+    # By a hash of its own: on the keys of the deduplication, Spark would drop this
+    # shuffle and then merge partitions, and fewer tasks would be left to score.
+    spread = prompts.repartition(partitions, F.xxhash64(PAIR_ID, "prompt"))
+    return spread.mapInPandas(scoring_task(scorer, pause), schema=RESPONSES)
 
 
 def score_remaining(pairs: DataFrame, stored: DataFrame, scorer: Scorer, **options) -> DataFrame:

@@ -137,10 +137,16 @@ def last_value_per_key(df: DataFrame, key: str, value: str, order: Column) -> Da
 
 
 def sort_values(df: DataFrame, column1: str, column2: str | None = None, how: str = "ascending") -> DataFrame:
+    """Sort by one or two columns, both ascending or both descending.
+
+    Ties are ordered by a hash of the row. It also lets Spark cut the range of a
+    value that most rows share into several partitions.
+    """
     if how not in ("ascending", "descending"):
         raise ValueError(f"how must be ascending or descending, not {how!r}")
     columns = [F.col(c) for c in (column1, column2) if c is not None]
-    return df.orderBy(*[c.asc() if how == "ascending" else c.desc() for c in columns])
+    ordered = [c.asc() if how == "ascending" else c.desc() for c in columns]
+    return df.orderBy(*ordered, F.xxhash64(*df.columns))
 
 
 def top_n(df: DataFrame, n: int, order_by: Sequence[Column]) -> DataFrame:

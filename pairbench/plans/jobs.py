@@ -114,25 +114,24 @@ def evaluate(
     """All metrics of all models, and of the rater on the annotated subset, in one table.
 
     ``scope`` tells full results from the annotated subset; a NULL class stands
-    for all classes together. Results are reduced to counts per class once, and
-    the totals come from those.
+    for all classes together. The results of all models are counted per class in
+    one pass, and so is the subset; the totals come from those counts.
     """
-    counts = []
-    for name, df in results.items():
-        subset = metrics.annotated_subset(df, annotations, scoring.PAIR_ID)
-        raters = {name: "label", f"{rater} on {name}": "rater_label_binary"}
-        counts.append(_class_counts(df, {name: "label"}).withColumn("scope", F.lit("all")))
-        counts.append(_class_counts(subset, raters).withColumn("scope", F.lit("annotated")))
-    per_class = tables.union_rows(*counts)
+    columns = [scoring.PAIR_ID, metrics.STRATUM, metrics.TRUTH, "label"]
+    every = tables.union_rows(*[df.select(*columns, F.lit(name).alias("model")) for name, df in results.items()])
+    subset = metrics.annotated_subset(every, annotations, scoring.PAIR_ID)
+    by = ["model", metrics.STRATUM]
+    full = metrics.rater_counts(every, {"model": "label"}, by).withColumn("scope", F.lit("all"))
+    part = metrics.rater_counts(subset, {"model": "label", rater: "rater_label_binary"}, by)
+    per_class = tables.union_rows(full, part.withColumn("scope", F.lit("annotated")))
+    model = F.col("model")
+    rated_by = F.when(F.col("rater") == rater, F.concat(F.lit(f"{rater} on "), model)).otherwise(model)
+    per_class = per_class.withColumn("rater", rated_by).drop("model")
     total = metrics.total_counts(per_class, ["scope", "rater"]).withColumn(metrics.STRATUM, F.lit(None).cast("int"))
     known = per_class.filter(F.col(metrics.STRATUM).isNotNull())
     return metrics.rates(tables.union_rows(known, total))
 
 
-def _class_counts(df: DataFrame, raters: Mapping[str, str]) -> DataFrame:
-    return metrics.rater_counts(df, raters, [metrics.STRATUM])
-
-
 def run_chain(
     domain: Mapping[str, DataFrame],
     scorers: Mapping[str, scoring.Scorer],
