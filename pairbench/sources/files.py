@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pairbench.session import shared_dir
 
 # One option set for both directions, so that quotes, backslashes, line breaks,
-# padding, empty strings and NULLs come back as they were written.
+# padding, empty strings, NULLs and microseconds come back as they were written.
 _CSV_OPTIONS = {
     "header": True,
     "quote": '"',
@@ -19,6 +19,9 @@ _CSV_OPTIONS = {
     "emptyValue": "",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
+    # The default formats end at milliseconds.
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
 }
 _INDEX_COLUMN = "__row_index"
 
