@@ -34,39 +34,74 @@ def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def measure_notes(df: DataFrame) -> DataFrame:
-    """Cast visit id and text to string and take the length of the cleaned text.
+def with_visit(df: DataFrame) -> DataFrame:
+    """Visit id as string and service date as timestamp.
 
-    Rows without a visit id are dropped: they belong to no visit. The length
-    counts characters; its name is part of the data contract.
+    Rows without a visit id are dropped: they belong to no visit.
     """
-    dated = df.schema["deid_service_date"].dataType
     date = F.col("deid_service_date")
-    if isinstance(dated, T.StringType):
+    if isinstance(df.schema["deid_service_date"].dataType, T.StringType):
         date = F.try_to_timestamp(date).cast("timestamp_ntz")
-    return (
-        df.filter(F.col("visit_occurrence_id").isNotNull())
-        .withColumns(
-            {
-                "visit_occurrence_id": F.col("visit_occurrence_id").cast("string"),
-                "note_text": F.col("note_text").cast("string"),
-                "deid_service_date": date,
-            }
-        )
-        .withColumn("note_length_words", F.char_length(X.clean_note(F.col("note_text"))))
+    return df.filter(F.col("visit_occurrence_id").isNotNull()).withColumns(
+        {"visit_occurrence_id": F.col("visit_occurrence_id").cast("string"), "deid_service_date": date}
     )
 
 
+def measure_notes(df: DataFrame) -> DataFrame:
+    """Add the length of the cleaned text.
+
+    It counts characters; its name is part of the data contract.
+    """
+    text = F.col("note_text").cast("string")
+    return df.withColumns({"note_text": text, "note_length_words": F.char_length(X.clean_note(text))})
+
+
 def clean_notes(df: DataFrame) -> DataFrame:
     return df.withColumn("note_text_processed", X.clean_note(F.col("note_text")))
 
 
 def first_clean_notes(cohort: DataFrame) -> DataFrame:
-    """One cleaned note per visit.
+    """One cleaned note per visit, from notes that have their text.
 
     Only raw texts travel: those that stay are cleaned again after the shuffle.
     """
-    return clean_notes(first_note_per_visit(measure_notes(cohort)))
+    return clean_notes(first_note_per_visit(measure_notes(with_visit(cohort))))
+
+
+def earliest_notes(headers: DataFrame) -> DataFrame:
+    """The notes of the earliest date of each visit, with their number ``tied``.
+
+    Counts per visit and date come first, so that a visit with most of the notes
+    is reduced before anything of it meets in one place.
+    """
+    visit, date = "visit_occurrence_id", "deid_service_date"
+    per_date = headers.groupBy(visit, date).agg(F.count(F.lit(1)).alias("tied"))
+    # False sorts before true, so a missing date comes last.
+    earliest = per_date.groupBy(visit).agg(
+        F.min(F.struct(F.col(date).isNull().alias("undated"), F.col(date).alias("date"), "tied")).alias("first")
+    )
+    keys = earliest.select(F.col(visit).alias("__visit"), F.col("first.date").alias("__date"), "first.tied")
+    same = (F.col(visit) == F.col("__visit")) & F.col(date).eqNullSafe(F.col("__date"))
+    return headers.join(keys, same).drop("__visit", "__date")
+
+
+def first_clean_notes_by_header(headers: DataFrame, note_text: DataFrame) -> DataFrame:
+    """One cleaned note per visit, from note headers and the table of texts.
+
+    Texts are scanned twice but travel once: a first scan yields only lengths,
+    which decide among notes of the same visit and date, and a second one the
+    texts of the notes that won, in one shuffle by note key. Note keys must be
+    unique in both tables, and ``headers``, read several times, is best a stage
+    table.
+    """
+    early = earliest_notes(with_visit(headers))
+    single = early.filter("tied = 1").drop("tied")
+    tied = early.filter("tied > 1").drop("tied")
+    texts = note_text.select("deid_note_key", "note_text")
+    lengths = measure_notes(texts).drop("note_text")
+    longest = first_note_per_visit(tables.merge(tied, lengths, "deid_note_key", how="left"))
+    winners = tables.union_rows(single, longest.drop("note_length_words"))
+    return clean_notes(measure_notes(tables.merge(winners, texts, "deid_note_key", how="left")))
 
 
 def first_note_per_visit(df: DataFrame) -> DataFrame:

@@ -52,6 +52,20 @@ def cohort_steps(
     ]
 
 
+def cohort_headers(
+    visits: DataFrame,
+    patients: DataFrame,
+    durations: DataFrame,
+    note_metadata: DataFrame,
+    steps: Sequence[tuple[str, Column]] | None = None,
+) -> DataFrame:
+    """Adult visits with the headers of their accepted notes, one row per note."""
+    matched = tables.merge(visits_with_age(visits, durations), note_headers(note_metadata), "visit_occurrence_id")
+    kept = notes.apply_steps(matched, steps if steps is not None else cohort_steps())
+    header_columns = [c for c in NOTE_METADATA.names if c not in ("person_id", "visit_occurrence_id")]
+    return visits_with_demographics(kept, patients).select(*COHORT_VISIT_COLUMNS, "person_id_notes", *header_columns)
+
+
 def cohort_notes(
     visits: DataFrame,
     patients: DataFrame,
@@ -60,17 +74,13 @@ def cohort_notes(
     note_text: DataFrame,
     steps: Sequence[tuple[str, Column]] | None = None,
 ) -> DataFrame:
-    """Adult visits with their accepted notes, one row per note.
+    """The cohort with note texts.
 
     Every filter acts on ids and note headers. Texts are joined last, by the note
     key: it is unique, so texts shuffle evenly even if one visit has most of the
     notes, and only once.
     """
-    matched = tables.merge(visits_with_age(visits, durations), note_headers(note_metadata), "visit_occurrence_id")
-    kept = notes.apply_steps(matched, steps if steps is not None else cohort_steps())
-    described = visits_with_demographics(kept, patients)
-    header_columns = [c for c in note_headers(note_metadata).columns if c != "visit_occurrence_id"]
-    return attach_text(described.select(*COHORT_VISIT_COLUMNS, *header_columns), note_text)
+    return attach_text(cohort_headers(visits, patients, durations, note_metadata, steps), note_text)
 
 
 def cohort_funnel(visits: DataFrame, durations: DataFrame, note_metadata: DataFrame) -> DataFrame:
@@ -78,12 +88,22 @@ def cohort_funnel(visits: DataFrame, durations: DataFrame, note_metadata: DataFr
     return profile.attrition_funnel(matched, cohort_steps())
 
 
-def prepare_notes(cohort: DataFrame, count: Callable[[Column], Column] = token_count) -> DataFrame:
-    """One cleaned, flagged and sectioned note per visit."""
-    first = notes.first_clean_notes(cohort)
+def _sections_and_counts(first: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
     return notes.add_token_counts(notes.add_sections(notes.add_section_flags(first)), count)
 
 
+def prepare_notes(cohort: DataFrame, count: Callable[[Column], Column] = token_count) -> DataFrame:
+    """One cleaned, flagged and sectioned note per visit, from a stored cohort."""
+    return _sections_and_counts(notes.first_clean_notes(cohort), count)
+
+
+def prepare_from_headers(
+    headers: DataFrame, note_text: DataFrame, count: Callable[[Column], Column] = token_count
+) -> DataFrame:
+    """The same from cohort headers, fetching only the texts of the notes that stay."""
+    return _sections_and_counts(notes.first_clean_notes_by_header(headers, note_text), count)
+
+
 def refine_notes(prepared: DataFrame, token_limit: int = HISTORY_TOKEN_LIMIT) -> DataFrame:
     return notes.apply_steps(prepared, notes.refine_steps(token_limit))
 
@@ -142,10 +162,8 @@ def run_chain(
     partitions: int | None = None,
 ) -> dict[str, DataFrame]:
     """All jobs in a row with a stage table after each; returns the stages by name."""
-    cohort = cohort_notes(
-        domain["visits"], domain["patients"], domain["durations"], domain["note_metadata"], domain["note_text"]
-    )
-    refined = stage(refine_notes(prepare_notes(cohort)))
+    headers = stage(cohort_headers(*[domain[t] for t in ("visits", "patients", "durations", "note_metadata")]))
+    refined = stage(refine_notes(prepare_from_headers(headers, domain["note_text"])))
     pairs = stage(build_pairs(refined, n, seed))
     results = {}
     for name, scorer in scorers.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,119 +36,93 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _shaped(df: DataFrame, schema: T.StructType, values: dict[str, Column]) -> DataFrame:
-    """Select the columns of a schema; those without a value are NULL."""
-    return df.select(
-        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+def _shaped(df: DataFrame, schema: T.StructType, values: dict[str, str]) -> DataFrame:
+    """Select the columns of a schema by SQL expressions; those without one are NULL."""
+    return df.selectExpr(
+        *[f"CAST({values.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields]
     )
 
 
 def visits(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders")
     n_parts = table(spark, folder, "part").agg(F.count(F.lit(1))).scalar()
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    level = F.lit(None)
-    for digit, name in reversed(_LEVEL_OF_PRIORITY.items()):
-        level = F.when(F.substring("o_orderpriority", 1, 1) == digit, name).otherwise(level)
+    orders = table(spark, folder, "orders").withColumn("agekey", F.col("o_orderkey") % n_parts)
+    levels = " ".join(f"WHEN '{digit}' THEN '{name}'" for digit, name in _LEVEL_OF_PRIORITY.items())
     return _shaped(
         orders,
         schemas.VISITS,
         {
-            "person_id": customer,
-            "person_id2": customer,
-            "ed_visit_occurrence_id": key,
-            "visit_occurrence_id": key,
-            "agekey": key % n_parts,
-            "agekeyvalue": key % n_parts,
-            "arrival_datetime": F.col("o_orderdate"),
-            "eddisposition": F.col("o_orderstatus"),
-            "acuitylevel": F.when(key % 50 == 49, UNSPECIFIED_ACUITY).otherwise(level),
+            "person_id": "o_custkey",
+            "person_id2": "o_custkey",
+            "ed_visit_occurrence_id": "o_orderkey",
+            "visit_occurrence_id": "o_orderkey",
+            "agekey": "agekey",
+            "agekeyvalue": "agekey",
+            "arrival_datetime": "o_orderdate",
+            "eddisposition": "o_orderstatus",
+            "acuitylevel": f"CASE WHEN o_orderkey % 50 = 49 THEN '{UNSPECIFIED_ACUITY}' "
+            f"ELSE CASE left(o_orderpriority, 1) {levels} END END",
         },
     )
 
 
 def patients(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("c_custkey")
     return _shaped(
         table(spark, folder, "customer"),
         schemas.PATIENTS,
         {
-            "person_id": key,
-            "sex": F.when(key % 2 == 0, "F").otherwise("M"),
-            "ethnicity": F.col("c_mktsegment"),
-            "firstrace": F.col("c_nationkey"),
-            "multiracial": F.when(key % 10 == 0, "Y").otherwise("N"),
+            "person_id": "c_custkey",
+            "sex": "if(c_custkey % 2 = 0, 'F', 'M')",
+            "ethnicity": "c_mktsegment",
+            "firstrace": "c_nationkey",
+            "multiracial": "if(c_custkey % 10 = 0, 'Y', 'N')",
         },
     )
 
 
 def durations(spark: SparkSession, folder: str) -> DataFrame:
-    return _shaped(
-        table(spark, folder, "part"),
-        schemas.DURATIONS,
-        {"durationkey": F.col("p_partkey"), "days": F.col("p_size") * 365},
-    )
+    values = {"durationkey": "p_partkey", "days": "p_size * 365"}
+    return _shaped(table(spark, folder, "part"), schemas.DURATIONS, values)
 
 
 def care_sites(spark: SparkSession, folder: str) -> DataFrame:
-    return _shaped(
-        table(spark, folder, "nation"),
-        schemas.CARE_SITES,
-        {"care_site_id": F.col("n_nationkey"), "location_id": F.col("n_regionkey")},
-    )
+    values = {"care_site_id": "n_nationkey", "location_id": "n_regionkey"}
+    return _shaped(table(spark, folder, "nation"), schemas.CARE_SITES, values)
 
 
 def locations(spark: SparkSession, folder: str) -> DataFrame:
-    return _shaped(
-        table(spark, folder, "region"),
-        schemas.LOCATIONS,
-        {"location_id": F.col("r_regionkey"), "location_source_value": F.col("r_name")},
-    )
+    values = {"location_id": "r_regionkey", "location_source_value": "r_name"}
+    return _shaped(table(spark, folder, "region"), schemas.LOCATIONS, values)
 
 
 def note_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    key, visit = F.col("doc_id"), F.expr("doc_id div 2")
-    day = (visit % 365 + F.when(key % 4 == 1, 1).otherwise(0)).cast("int")
+    visit = "doc_id div 2"
     return _shaped(
         table(spark, folder, "documents"),
         schemas.NOTE_METADATA,
         {
             "person_id": visit,
-            "deid_note_key": key,
+            "deid_note_key": "doc_id",
             "visit_occurrence_id": visit,
-            "note_type": F.when(key % 10 == 9, "Progress Notes").otherwise("ED Provider Notes"),
-            "prov_specialty": F.when(key % 8 == 0, "UCSF")
-            .when(key % 8 == 1, "Pediatrics")
-            .otherwise("Emergency Medicine"),
-            "deid_service_date": F.date_add(F.lit("2020-01-01").cast("date"), day),
+            "note_type": "if(doc_id % 10 = 9, 'Progress Notes', 'ED Provider Notes')",
+            "prov_specialty": "CASE doc_id % 8 WHEN 0 THEN 'UCSF' WHEN 1 THEN 'Pediatrics' ELSE 'Emergency Medicine' END",
+            "deid_service_date": f"date_add(DATE '2020-01-01', CAST(({visit}) % 365 + if(doc_id % 4 = 1, 1, 0) AS INT))",
         },
     )
 
 
 def note_text(spark: SparkSession, folder: str) -> DataFrame:
     """Notes with the whole document text, under headings that vary with the key."""
-    text, form = F.col("text"), F.col("doc_id") % 20
-    head, middle = F.substring(text, 1, 200), F.substring(text, 201, 200)
-    rest, tail = F.substr(text, F.lit(201)), F.substr(text, F.lit(401))
-
-    def joined(*parts):
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    note = (
-        F.when(form == 3, text)
-        .when(form == 5, joined("Physical Exam ", head, " Chief Complaint ", rest, " Initial Assessment x"))
-        .when(form == 6, joined("CHIEF COMPLAINT ", head, " PHYSICAL EXAM ", middle, " ED COURSE ", tail))
-        .when(form == 7, joined("Chief Complaint ", head, " Physical Exam ", rest))
-        .otherwise(
-            joined(
-                "History Chief Complaint ", head, "\n", "  Review of Systems Physical Exam ", middle,
-                " Initial Assessment ", tail, " Plan: rest",
-            )
-        )
-    )
-    return _shaped(
-        table(spark, folder, "documents"), schemas.NOTE_TEXT, {"deid_note_key": F.col("doc_id"), "note_text": note}
-    )
+    head, middle = "substring(text, 1, 200)", "substring(text, 201, 200)"
+    rest, tail = "substring(text, 201)", "substring(text, 401)"
+    note = f"""CASE doc_id % 20
+        WHEN 3 THEN text
+        WHEN 5 THEN concat('Physical Exam ', {head}, ' Chief Complaint ', {rest}, ' Initial Assessment x')
+        WHEN 6 THEN concat('CHIEF COMPLAINT ', {head}, ' PHYSICAL EXAM ', {middle}, ' ED COURSE ', {tail})
+        WHEN 7 THEN concat('Chief Complaint ', {head}, ' Physical Exam ', {rest})
+        ELSE concat('History Chief Complaint ', {head}, '\\n', '  Review of Systems Physical Exam ', {middle},
+            ' Initial Assessment ', {tail}, ' Plan: rest') END"""
+    values = {"deid_note_key": "doc_id", "note_text": note}
+    return _shaped(table(spark, folder, "documents"), schemas.NOTE_TEXT, values)
 
 
 def domain(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

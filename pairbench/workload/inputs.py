@@ -19,7 +19,9 @@ def cohort(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.prepare_notes(cohort(spark, folder))
+    domain = testbed.domain(spark, folder)
+    note_text = domain.pop("note_text")
+    return jobs.prepare_from_headers(jobs.cohort_headers(**domain), note_text)
 
 
 def refined(spark: SparkSession, folder: str) -> DataFrame:

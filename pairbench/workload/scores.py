@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairbench.constants import CALL_FAILED
 from pairbench.functions import labels as L
 from pairbench.operators import metrics, scoring, tables
 from pairbench.plans import jobs
@@ -33,13 +34,10 @@ def score_pairs(spark, folder):
 
 @query("score_pairs_resume", "SELECT * FROM responses", ["responses"])
 def score_pairs_resume(spark, folder):
-    """A run that stopped after a part of the pairs, and its completion."""
+    """A first run of which the failed calls are not kept, and its completion."""
     pairs = inputs.staged_pairs(spark, folder)
-    scorer = testbed.offline_scorer()
-    stored = stage(
-        scoring.score_pairs(pairs.filter(F.col("slot") % 3 == 0), scorer, inputs=testbed.SCORER_INPUTS)
-    )
-    return scoring.score_remaining(pairs, stored, scorer, inputs=testbed.SCORER_INPUTS)
+    stored = tables.drop_value(inputs.responses(pairs), "response_json", CALL_FAILED)
+    return scoring.score_remaining(pairs, stored, testbed.offline_scorer(), inputs=testbed.SCORER_INPUTS)
 
 
 @query(

@@ -16,6 +16,7 @@ from pairbench.functions import text as X
 from pairbench.operators import notes, tables
 from pairbench.plans import jobs
 from pairbench.sources import testbed
+from pairbench.sources.files import stage
 from pairbench.workload import inputs
 from pairbench.workload.checks import between, cleaned, position, quoted, to_end, tokens
 from pairbench.workload.registry import query
@@ -161,6 +162,12 @@ def prepare_notes(spark, folder):
     return inputs.prepared(spark, folder)
 
 
+@query("prepare_notes_from_cohort", "SELECT * FROM prepared", ["prepared"])
+def prepare_notes_from_cohort(spark, folder):
+    """The same from a written cohort."""
+    return jobs.prepare_notes(stage(inputs.cohort(spark, folder)))
+
+
 @query("refine_notes", "SELECT * FROM refined", ["refined"])
 def refine_notes(spark, folder):
     return jobs.refine_notes(inputs.prepared(spark, folder))

@@ -44,28 +44,26 @@ def _rows(frame_columns, rows):
     return sorted(plain, key=repr)
 
 
-def _kind(dtype: str) -> str:
-    dtype = dtype.lower()
-    for kind, names in {
-        "int": ("int", "long", "short"),
-        "float": ("double", "float", "decimal"),
-        "text": ("string", "varchar"),
-        "bool": ("bool",),
-        "time": ("timestamp", "date"),
-    }.items():
-        if any(n in dtype for n in names):
-            return kind
-    return dtype
+_SPARK_TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz",
+}
 
 
 def difference(df, connection, sql: str) -> str | None:
     """None if both give the same rows, else what differs first."""
     result = connection.sql(sql)
     names, types = list(result.columns), [str(t) for t in result.types]
-    want_schema = {n: _kind(t) for n, t in zip(names, types)}
-    got_schema = {f.name: _kind(f.dataType.simpleString()) for f in df.schema.fields}
+    want_schema = {n: _SPARK_TYPES.get(t, t) for n, t in zip(names, types)}
+    got_schema = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     if want_schema != got_schema:
-        return f"schema {got_schema} instead of {want_schema}"
+        names = sorted(set(want_schema) | set(got_schema))
+        return "schema " + str({n: (got_schema.get(n), want_schema.get(n)) for n in names
+                                if got_schema.get(n) != want_schema.get(n)})
     want = _rows(names, result.fetchall())
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
     if len(want) != len(got):
