@@ -34,6 +34,16 @@ def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def attach_text(headers: DataFrame, note_text: DataFrame) -> DataFrame:
+    """Add the texts of notes.
+
+    Texts are never broadcast: compressed files say little about their size, and
+    the work on them should spread over as many tasks as they fill.
+    """
+    texts = note_text.select("deid_note_key", "note_text").hint("merge")
+    return tables.merge(headers, texts, "deid_note_key", how="left")
+
+
 def with_visit(df: DataFrame) -> DataFrame:
     """Visit id as string and service date as timestamp.
 
@@ -69,39 +79,21 @@ def first_clean_notes(cohort: DataFrame) -> DataFrame:
 
 
 def earliest_notes(headers: DataFrame) -> DataFrame:
-    """The notes of the earliest date of each visit, with their number ``tied``.
-
-    Counts per visit and date come first, so that a visit with most of the notes
-    is reduced before anything of it meets in one place.
-    """
-    visit, date = "visit_occurrence_id", "deid_service_date"
-    per_date = headers.groupBy(visit, date).agg(F.count(F.lit(1)).alias("tied"))
-    # False sorts before true, so a missing date comes last.
-    earliest = per_date.groupBy(visit).agg(
-        F.min(F.struct(F.col(date).isNull().alias("undated"), F.col(date).alias("date"), "tied")).alias("first")
-    )
-    keys = earliest.select(F.col(visit).alias("__visit"), F.col("first.date").alias("__date"), "first.tied")
-    same = (F.col(visit) == F.col("__visit")) & F.col(date).eqNullSafe(F.col("__date"))
-    return headers.join(keys, same).drop("__visit", "__date")
+    """All notes of the earliest date of each visit; missing dates count as latest."""
+    visit, date = F.col("visit_occurrence_id"), F.col("deid_service_date")
+    earliest = headers.groupBy(visit.alias("__visit")).agg(F.min(date).alias("__date"))
+    same = (visit == F.col("__visit")) & date.eqNullSafe(F.col("__date"))
+    return headers.join(earliest, same).drop("__visit", "__date")
 
 
 def first_clean_notes_by_header(headers: DataFrame, note_text: DataFrame) -> DataFrame:
     """One cleaned note per visit, from note headers and the table of texts.
 
-    Texts are scanned twice but travel once: a first scan yields only lengths,
-    which decide among notes of the same visit and date, and a second one the
-    texts of the notes that won, in one shuffle by note key. Note keys must be
-    unique in both tables, and ``headers``, read several times, is best a stage
-    table.
+    The date alone rules out most notes of a visit, so it is compared before any
+    text is fetched; lengths decide among those that are left.
     """
-    early = earliest_notes(with_visit(headers))
-    single = early.filter("tied = 1").drop("tied")
-    tied = early.filter("tied > 1").drop("tied")
-    texts = note_text.select("deid_note_key", "note_text")
-    lengths = measure_notes(texts).drop("note_text")
-    longest = first_note_per_visit(tables.merge(tied, lengths, "deid_note_key", how="left"))
-    winners = tables.union_rows(single, longest.drop("note_length_words"))
-    return clean_notes(measure_notes(tables.merge(winners, texts, "deid_note_key", how="left")))
+    candidates = attach_text(earliest_notes(with_visit(headers)), note_text)
+    return clean_notes(first_note_per_visit(measure_notes(candidates)))
 
 
 def first_note_per_visit(df: DataFrame) -> DataFrame:

@@ -36,10 +36,6 @@ def note_headers(note_metadata: DataFrame) -> DataFrame:
     return tables.rename_columns(headers, {"person_id": "person_id_notes"})
 
 
-def attach_text(headers: DataFrame, note_text: DataFrame) -> DataFrame:
-    return tables.merge(headers, note_text.select("deid_note_key", "note_text"), "deid_note_key", how="left")
-
-
 def cohort_steps(
     min_age: float = MIN_AGE_YEARS, note_type: str = NOTE_TYPE, specialties: Sequence[str] = SPECIALTIES
 ) -> list[tuple[str, Column]]:
@@ -80,7 +76,7 @@ def cohort_notes(
     key: it is unique, so texts shuffle evenly even if one visit has most of the
     notes, and only once.
     """
-    return attach_text(cohort_headers(visits, patients, durations, note_metadata, steps), note_text)
+    return notes.attach_text(cohort_headers(visits, patients, durations, note_metadata, steps), note_text)
 
 
 def cohort_funnel(visits: DataFrame, durations: DataFrame, note_metadata: DataFrame) -> DataFrame:
@@ -100,7 +96,7 @@ def prepare_notes(cohort: DataFrame, count: Callable[[Column], Column] = token_c
 def prepare_from_headers(
     headers: DataFrame, note_text: DataFrame, count: Callable[[Column], Column] = token_count
 ) -> DataFrame:
-    """The same from cohort headers, fetching only the texts of the notes that stay."""
+    """The same from cohort headers, fetching only the texts of notes that may stay."""
     return _sections_and_counts(notes.first_clean_notes_by_header(headers, note_text), count)
 
 

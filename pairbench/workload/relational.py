@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairbench.functions import labels as L
-from pairbench.operators import tables
+from pairbench.operators import notes, tables
 from pairbench.plans import jobs
 from pairbench.session import shared_dir
 from pairbench.sources import files, testbed
@@ -144,9 +144,9 @@ def cohort_adults(spark, folder):
     ["visits", "note_metadata"],
 )
 def null_filters(spark, folder):
-    notes = testbed.note_metadata(spark, folder).select("visit_occurrence_id", "deid_note_key")
+    headers = testbed.note_metadata(spark, folder).select("visit_occurrence_id", "deid_note_key")
     visits = testbed.visits(spark, folder).select("visit_occurrence_id")
-    merged = tables.merge(visits, notes, "visit_occurrence_id", how="left")
+    merged = tables.merge(visits, headers, "visit_occurrence_id", how="left")
     return tables.union_rows(
         tables.keep_not_null(merged, "deid_note_key").withColumn("part", F.lit("with note")),
         tables.keep_null(merged, "deid_note_key").withColumn("part", F.lit("without note")),
@@ -208,7 +208,7 @@ def visit_demographics(spark, folder):
 )
 def notes_with_text(spark, folder):
     headers = jobs.note_headers(testbed.note_metadata(spark, folder))
-    return jobs.attach_text(headers, testbed.note_text(spark, folder))
+    return notes.attach_text(headers, testbed.note_text(spark, folder))
 
 
 @query(

@@ -203,5 +203,9 @@ def test_cohort_with_a_hot_visit(spark):
     hot = prepared.filter("visit_occurrence_id = '49'").select("deid_note_key").collect()
     longest = max(len(str(i)) for v, i in want if v == 49)
     assert [r[0] for r in hot] == [min(i for v, i in want if v == 49 and len(str(i)) == longest)]
+    headers = jobs.cohort_headers(visits, patients, durations, metadata)
+    by_header = jobs.prepare_from_headers(headers, texts)
+    assert by_header.columns == prepared.columns
+    assert sorted(by_header.collect(), key=repr) == sorted(prepared.collect(), key=repr)
     funnel = jobs.cohort_funnel(visits, durations, metadata).orderBy("step").collect()
     assert [r.n_rows for r in funnel][0] == 2 * n and [r.n_rows for r in funnel][-1] == len(want)

@@ -74,6 +74,17 @@ def test_texts_are_joined_last(cohort, no_broadcast):
     assert exchanges[0] == "deid_note_key"
 
 
+def test_texts_are_never_broadcast(spark, cohort):
+    domain = testbed.domain(spark, FOLDER)
+    texts = domain.pop("note_text")
+    by_header = jobs.prepare_from_headers(jobs.cohort_headers(**domain), texts)
+    for df in (cohort, by_header):
+        text = plan(df)
+        # The one join that meets the texts is a merge join, and it is the last.
+        assert text.index("SortMergeJoin [deid_note_key") < text.index("BroadcastHashJoin")
+        assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:", text)) == 1
+
+
 def test_first_note_is_limited_before_the_shuffle(cohort):
     text = plan(jobs.prepare_notes(cohort))
     assert re.search(r"WindowGroupLimit.*row_number\(\), 1, Final", text)

@@ -112,6 +112,27 @@ def test_first_note_per_visit(spark):
     assert sorted(tuple(r) for r in got) == [("1", 12), ("2", 14), ("3", 15)]
 
 
+def test_first_note_by_header_against_brute_force(spark):
+    rng = random.Random(4)
+    data = [
+        (rng.choice([None, 1, 1, 1, 2, 3, 4, 5]), i, rng.choice([None, 1, 2, 3]), "x" * rng.randint(0, 3) + "\n  y")
+        for i in range(300)
+    ] + [(9, 300, None, "only an undated one"), (9, 301, None, "short")]
+    df = spark.createDataFrame(data, "visit_occurrence_id long, deid_note_key long, day int, note_text string")
+    date = F.date_add(F.lit("2020-01-01").cast("date"), F.col("day")).cast("timestamp_ntz")
+    df = df.withColumn("deid_service_date", date).drop("day")
+    best = {}
+    for visit, key, day, text in data:
+        rank = (day is None, day or 0, -len(re.sub(" +", " ", text.replace("\n", ""))), key)
+        if visit is not None and (visit not in best or rank < best[visit]):
+            best[visit] = rank
+    want = sorted((str(v), r[-1]) for v, r in best.items())
+    with_text = notes.first_clean_notes(df)
+    by_header = notes.first_clean_notes_by_header(df.drop("note_text"), df.select("deid_note_key", "note_text"))
+    for got in (with_text, by_header):
+        assert sorted(tuple(r) for r in got.select("visit_occurrence_id", "deid_note_key").collect()) == want
+
+
 def test_service_date_as_text(spark):
     df = spark.createDataFrame(
         [(1, 1, "2020-01-02 00:00:00", "a"), (1, 2, "not a date", "b")],
