@@ -27,7 +27,7 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def cohort(spark):
     return jobs.cohort_notes(**testbed.domain(spark, FOLDER))
 
@@ -74,8 +74,9 @@ def test_texts_are_joined_last(cohort, no_broadcast):
     assert exchanges[0] == "deid_note_key"
 
 
-def test_texts_are_never_broadcast(spark, cohort):
+def test_texts_are_never_broadcast(spark):
     domain = testbed.domain(spark, FOLDER)
+    cohort = jobs.cohort_notes(**domain)
     texts = domain.pop("note_text")
     by_header = jobs.prepare_from_headers(jobs.cohort_headers(**domain), texts)
     for df in (cohort, by_header):
