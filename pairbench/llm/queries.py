@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbench.llm import common, toxicity
+from pairbench.llm import decontaminate, ngram_join, toxicity
 from pairbench.llm.common import table
 from pairbench.workload.registry import query
 
 
+@query("op4_benchmark_decontamination")
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -21,3 +26,8 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op9_ngram_jaccard_join")
+def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, folder, "documents"), words=3, percent=90)
