@@ -10,8 +10,9 @@ distance. ``tables`` draws of ``SAMPLES`` steps each are the LSH keys. Two
 windows that agree in a share ``AGREE`` of their steps share a key with
 probability 1 - (1 - AGREE ** SAMPLES) ** tables, and the number of tables is the
 least that reaches ``RECALL``; an item has many anchors, so it gets several
-chances. A hit lines the item up with the document, and the exact edit distance
-of the whole item to the best substring there decides.
+chances. A shared key whose walks agree in fewer than ``LEAST`` of all steps is
+chance. Any other lines the item up with the document, and the exact edit
+distance of the whole item to the best substring there decides.
 
 The documents are read once, without a shuffle. Items go to all tasks in blocks
 of bounded size (``BLOCK_BYTES`` of text); a larger benchmark means more passes,
@@ -39,9 +40,12 @@ from pairbench.llm.common import Words, code_points, mix, powers, slices, text_b
 
 #: Edits allowed, in percent of the item's bytes: similarity of 0.8 or more.
 EDITS = 20
-RECALL, AGREE, SAMPLES = 0.95, 0.7, 6
+RECALL, AGREE, SAMPLES = 0.95, 0.6, 5
 #: Steps of the walk that samples come from; the pointer moves at every other, so about 64 bytes.
 STEPS = 128
+#: Steps from here on are sampled and compared: those before read the anchor, which is equal anyway.
+SKIP = 16
+LEAST = 0.5
 #: Anchors are words of at least so many bytes, or any word in items with few such.
 ANCHOR_BYTES, FEW = 6, 4
 BLOCK_BYTES = 4 << 20
@@ -61,22 +65,26 @@ class Walk:
         self.moves = random.integers(0, 2, (steps, 256), dtype=np.int32)
         self.moves[:, 0] = 0  # a text's end is never passed
         count = count or tables()
-        self.draws = np.array([random.choice(steps, SAMPLES, replace=False) for _ in range(count)])
+        self.draws = np.array([SKIP + random.choice(steps - SKIP, SAMPLES, replace=False) for _ in range(count)])
         self.uses = [[] for _ in range(steps)]
         for table, draw in enumerate(self.draws):
             for place, step in enumerate(draw):
                 self.uses[step].append((table, np.uint64(257 ** (place + 1))))
 
-    def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """LSH keys (tables x windows) of the windows that begin at ``starts``; a zero byte ends a text."""
+    def read(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What walks from ``starts`` read (windows x steps), and their LSH keys (tables x windows).
+
+        A zero byte ends a text.
+        """
+        trace = np.zeros((len(self.moves), len(starts)), np.uint8)
         at = starts.astype(np.int64)
         found = np.zeros((len(self.draws), len(starts)), np.uint64)
         for step, moves in enumerate(self.moves):
-            symbol = data[at]
+            symbol = trace[step] = data[at]
             for table, weight in self.uses[step]:
                 found[table] += (symbol.astype(np.uint64) + np.uint64(1)) * weight
             at += moves[symbol]
-        return mix(found + powers(2)[1] * np.arange(len(self.draws), dtype=np.uint64)[:, None])
+        return trace[SKIP:].T.copy(), mix(found + powers(2)[1] * np.arange(len(self.draws), dtype=np.uint64)[:, None])
 
 
 class Normal:
@@ -107,13 +115,20 @@ class Normal:
 
 @dataclass
 class Index:
-    """Windows of a block of items, by LSH key and by anchor word."""
+    """Windows of a block of items, by LSH key and by anchor word.
+
+    Key number k belongs to ``windows[first[k]:first[k + 1]]``.
+    """
 
     ids: list
     texts: list[bytes]
     anchors: np.ndarray
     keys: np.ndarray
-    windows: list[list[tuple[int, int]]]
+    first: np.ndarray
+    windows: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
+    trace: np.ndarray
 
 
 def index(ids: list, texts: list[str], walk: Walk) -> Index:
@@ -129,15 +144,13 @@ def index(ids: list, texts: list[str], walk: Walk) -> Index:
         long = [w for w in early if size[w] >= ANCHOR_BYTES]
         chosen += [(item, w) for w in (long if len(long) >= FEW else early)]
     at = np.array([w for _, w in chosen], np.int64)
-    keys = walk.keys(normal.data, normal.begin[at])
-    held = defaultdict(list)
-    for column, (item, w) in enumerate(chosen):
-        for key in keys[:, column]:
-            held[int(key)].append((item, int(normal.begin[w] - normal.bounds[item])))
-    ordered = sorted(held)
+    item = np.array([i for i, _ in chosen], np.int64)
+    trace, keys = walk.read(normal.data, normal.begin[at])
+    order = np.argsort(keys.ravel(), kind="stable")
+    distinct, first = np.unique(keys.ravel()[order], return_index=True)
     return Index(
-        ids, [normal.text(i) for i in range(len(ids))], np.unique(words.hash[at]),
-        np.array(ordered, np.uint64), [held[k] for k in ordered],
+        ids, [normal.text(i) for i in range(len(ids))], np.unique(words.hash[at]), distinct,
+        np.append(first, len(order)), order % len(at), item, normal.begin[at] - normal.bounds[item], trace,
     )
 
 
@@ -206,16 +219,24 @@ def _matches(texts, block, walk, words_seen, keys_seen, percent) -> dict:
     if not len(at):
         return {}
     begin = normal.begin[at]
-    keys = walk.keys(normal.data, begin)
+    trace, keys = walk.read(normal.data, begin)
     table, column = np.nonzero(keys_seen[(keys >> np.uint64(42)).astype(np.int64)])
     key = keys[table, column]
     slot = np.minimum(np.searchsorted(block.keys, key), len(block.keys) - 1)
     hit = block.keys[slot] == key
-    tries = {
-        (int(words.text[at[c]]), item, int(begin[c]) - offset)
-        for c, s in zip(column[hit], slot[hit])
-        for item, offset in block.windows[s]
-    }
+    slot, column = slot[hit], column[hit]
+    length = block.first[slot + 1] - block.first[slot]
+    place = np.repeat(block.first[slot] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    pairs = np.unique(np.repeat(column, length) * len(block.item) + block.windows[place])
+    column, window = pairs // len(block.item), pairs % len(block.item)
+    # Past an item's end there is nothing to agree with.
+    item_trace = block.trace[window]
+    real = item_trace != 0
+    near = ((trace[column] == item_trace) & real).sum(axis=1) >= np.maximum(LEAST * real.sum(axis=1), 1)
+    column, window = column[near], window[near]
+    tries = set(zip(
+        words.text[at[column]].tolist(), block.item[window].tolist(), (begin[column] - block.offset[window]).tolist()
+    ))
     found, done = {}, {}
     for text, item, start in sorted(tries):
         pattern = block.texts[item]
