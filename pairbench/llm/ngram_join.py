@@ -11,10 +11,10 @@ representatives go on. Then, for a threshold t:
 2. *Groups.* Of each shared signature, the set that shares most is the leader. A
    set is compared with its leaders, exactly, and joins the group of the leader
    that it shares most signatures with. Groups are cut into bounded pieces.
-3. *Token-group matrix.* Each piece stores the union of its members' shingles. A
-   set that shares a signature with a piece that holds members of another
-   component is a query: its overlap with the union bounds its overlap with every
-   member. Only pieces whose bound reaches what t demands are opened, and their
+3. *Token-group matrix.* Each piece stores the union of its members' shingles.
+   Where pieces share a signature and hold several components, the members of
+   one are queries to the other: a query's overlap with the union bounds its
+   overlap with every member. Only pieces whose bound reaches what t demands are opened, and their
    members are compared exactly.
 
 Step 3 leaves out nothing but pairs that are already in one component. Rows
@@ -44,7 +44,7 @@ from pairbench.llm.graph import components
 #: Members of a piece of a group, about.
 PIECE = 32
 #: Queries of a piece under one salt, about.
-QUERIES = 2048
+QUERIES = 256
 #: Ids up to this number are broadcast to pick their texts; beyond it, texts shuffle by id.
 BROADCAST_IDS = 1_000_000
 _BAND_RATIO = 1.5
@@ -322,14 +322,20 @@ def _links(source: DataFrame, known: DataFrame, classes: DataFrame, words: int,
     at = entries.select("sign", "rep").join(everyone, "rep")
     several = at.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     at = stage(at.join(several.filter("low <> high").select("sign"), "sign"))
-    present = at.groupBy("sign", "leader", "cut").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("least")
+    members = stage(at.select("leader", "cut", "rep", "component").distinct())
+    # Pieces that share a signature, each pair once; then the members of one are queries to the other.
+    piece = F.struct("leader", "cut")
+    held_by = at.groupBy("sign", piece.alias("piece")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    other = held_by.withColumnsRenamed({"piece": "target", "low": "target_low", "high": "target_high"})
+    met = (
+        held_by.join(other, "sign")
+        .filter("piece >= target AND (low <> high OR low <> target_low OR low <> target_high)")
+        .select("piece", "target").distinct()
     )
+    spans = members.groupBy(piece.alias("target")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
     queries = stage(
-        at.select("sign", "rep", "component").join(present, "sign")
-        # Each pair is asked for from one side only: that of the larger id.
-        .filter("least < rep AND (low <> component OR high <> component)")
-        .select("leader", "cut", "rep", "component").distinct()
+        members.select(piece.alias("piece"), "rep", "component").join(met.join(spans, "target"), "piece")
+        .filter("low <> component OR high <> component")
+        .select("target.leader", "target.cut", "rep", "component")
     )
-    members = at.select("leader", "cut", "rep", "component").distinct()
     return first.unionAll(_meet(members, queries, held, percent))
