@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbench.llm import decontaminate, ngram_join, toxicity
+from pairbench.llm import decontaminate, mixing, ngram_join, toxicity
 from pairbench.llm.common import table
 from pairbench.workload.registry import query
 
@@ -28,6 +28,12 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_mixing_to_weights")
+def op8_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mixing.interleave(docs, mixing.proportions(docs)).drop("order")
+
+
 @query("op9_ngram_jaccard_join")
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, folder, "documents"), words=3, percent=90)
