@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbench.llm import decontaminate, mixing, ngram_join, toxicity
+from pairbench.llm import decontaminate, mixing, ngram_join, rans, toxicity
 from pairbench.llm.common import table
 from pairbench.workload.registry import query
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 @query("op4_benchmark_decontamination")
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op5_token_id_output")
+def op5_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
+    return rans.read(rans.write(table(spark, folder, "documents"), TOKENIZER))
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
