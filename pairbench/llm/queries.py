@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbench.llm import decontaminate, mixing, ngram_join, rans, toxicity
+from pairbench.llm import decontaminate, mixing, ngram_join, rans, toxicity, warc
 from pairbench.llm.common import table
 from pairbench.workload.registry import query
 
@@ -45,3 +45,29 @@ def op8_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, folder, "documents"), words=3, percent=90)
+
+
+@query(
+    "op6_warc",
+    """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS body, unhex(sha1(coalesce(html, ''))) AS raw FROM pages
+    ), bits AS (
+        SELECT page_id, body, raw, list_transform(range(32), lambda i: substr(bitstring_of, i * 5 + 1, 5)) AS groups
+        FROM (SELECT page_id, body, raw, CAST(raw AS BIT)::VARCHAR AS bitstring_of FROM p)
+    ), ranked AS (
+        SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+            list_aggregate(list_transform(groups,
+                lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST(g AS BIT) AS INTEGER) + 1, 1)
+            ), 'string_agg', '') AS payload_digest,
+            max(page_id) OVER (PARTITION BY body) AS target
+        FROM bits
+    )
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+        CASE WHEN target = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN target <> page_id THEN target END AS refers_to
+    FROM ranked
+    """,
+)
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, folder, "pages")))
