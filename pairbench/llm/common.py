@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pairbench.session import tune
 from pairbench.sources import files
 
-# Texts travel to Python in batches of at most this many rows, and are worked on
+# Texts travel to Python in batches of about this many rows and bytes at most, and are worked on
 # in slices of at most this many bytes (or one text, if it is longer).
 BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
 SLICE_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
@@ -23,6 +24,7 @@ _MASK = (1 << 64) - 1
 def prepare(spark: SparkSession) -> SparkSession:
     """Adaptive execution, and Arrow batches that bound a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return tune(spark)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbench.llm import decontaminate, mixing, ngram_join, rans, toxicity, warc
+from pairbench.llm import decontaminate, mixing, ngram_join, rans, topk, toxicity, warc
 from pairbench.llm.common import table
 from pairbench.workload.registry import query
 
@@ -71,3 +71,26 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(warc.write(table(spark, folder, "pages")))
+
+
+@query(
+    "op10_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+            CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+        FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+    FROM s
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER w <= 10
+    """,
+)
+def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_products(table(spark, folder, "embeddings"))
