@@ -42,7 +42,7 @@ from pairbench.llm.common import Words, chain, mix, powers, slices, stage, text_
 from pairbench.llm.graph import components
 
 #: Members of a piece of a group, about.
-PIECE = 32
+PIECE = 64
 #: Queries of a piece under one salt, about.
 QUERIES = 256
 #: Ids up to this number are broadcast to pick their texts; beyond it, texts shuffle by id.
