@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbench.llm import decontaminate, mixing, ngram_join, rans, topk, toxicity, warc
+from pairbench.llm import decontaminate, mixing, ngram_join, rans, suffix_dedup, topk, toxicity, warc
 from pairbench.llm.common import table
 from pairbench.workload.registry import query
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, folder, "documents"))
+
+
 @query("op4_benchmark_decontamination")
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
