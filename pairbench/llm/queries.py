@@ -6,13 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbench.llm import decontaminate, mixing, ngram_join, rans, suffix_dedup, topk, toxicity, warc
+from pairbench.llm import decontaminate, mixing, ngram_join, rans, secrets, suffix_dedup, topk, toxicity, warc
 from pairbench.llm.common import table
 from pairbench.workload.registry import query
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _count(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *[_count("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        secrets.digest("base", True).alias("base_sha256"),
+        secrets.digest("spans", False).alias("spans"),
+        _count("spans", "random").alias("n_random"),
+    )
+
+
 @query("op2_suffix_array_dedup")
 def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, folder, "documents"))
