@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbench.llm import decontaminate, mixing, ngram_join, rans, secrets, suffix_dedup, topk, toxicity, warc
+from pairbench.llm import decontaminate, mixing, ngram_join, pii, rans, secrets, suffix_dedup, topk, toxicity, warc
 from pairbench.llm.common import table
 from pairbench.workload.registry import query
 
@@ -34,6 +34,17 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, folder, "documents"))
 
 
+@query("op3_pii")
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *[_count("base", k).alias(f"n_{k}") for k in pii.BASE],
+        secrets.digest("base", True).alias("base_sha256"),
+        secrets.digest("spans", False).alias("spans"),
+    )
+
+
 @query("op4_benchmark_decontamination")
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
