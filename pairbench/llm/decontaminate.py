@@ -227,13 +227,10 @@ def _matches(texts, block, walk, words_seen, keys_seen, percent) -> dict:
     slot, column = slot[hit], column[hit]
     length = block.first[slot + 1] - block.first[slot]
     place = np.repeat(block.first[slot] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    pairs = np.unique(np.repeat(column, length) * len(block.item) + block.windows[place])
-    column, window = pairs // len(block.item), pairs % len(block.item)
-    # Past an item's end there is nothing to agree with.
-    item_trace = block.trace[window]
-    real = item_trace != 0
-    near = ((trace[column] == item_trace) & real).sum(axis=1) >= np.maximum(LEAST * real.sum(axis=1), 1)
-    column, window = column[near], window[near]
+    column, window = np.repeat(column, length), block.windows[place]
+    for every, least in ((4, LEAST - 0.2), (1, LEAST)):  # a look at some steps spares most looks at all
+        near = _agree(trace[:, ::every].copy(), block.trace[:, ::every].copy(), column, window) >= least
+        column, window = column[near], window[near]
     tries = set(zip(
         words.text[at[column]].tolist(), block.item[window].tolist(), (begin[column] - block.offset[window]).tolist()
     ))
@@ -256,6 +253,13 @@ def _matches(texts, block, walk, words_seen, keys_seen, percent) -> dict:
     return found
 
 
+def _agree(trace: np.ndarray, items: np.ndarray, column: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Share of steps at which walks agree, without those past an item's end."""
+    real = items != 0
+    same = ((trace[column] == items[window]) & real[window]).sum(axis=1, dtype=np.int16)
+    return same / np.maximum(real.sum(axis=1), 1)[window]
+
+
 def _span(words, normal, text: int, value, begins: int, ends: int) -> tuple[int, int]:
     """Code points of the original text for a span of the normalised one."""
     data = value.as_py().encode()
