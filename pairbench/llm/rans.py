@@ -195,7 +195,7 @@ class Segment:
         table, index = struct.unpack_from("<II", data, _HEAD.size)
         at = _HEAD.size + 8
         end = at + table + index + 4 * blocks
-        if magic != _MAGIC or zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
+        if magic != _MAGIC or end + 4 > len(data) or zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
             raise ValueError("not a token file, or its header's checksum is wrong")
         raw = zlib.decompress(data[at : at + table])
         self.symbols = np.frombuffer(raw, np.uint32, entries)

@@ -1,0 +1,233 @@
+"""Token files, archives, toxicity, mixing and top-k search."""
+
+import gzip
+import io
+import math
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from tokenizers import Tokenizer
+
+from pairbench.llm import mixing, rans, store, topk, toxicity, warc
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 511, 512, 513, 40_000])
+def test_block_round_trip(size):
+    ids = np.random.default_rng(size).geometric(0.01, size).astype(np.uint32)
+    data = rans.pack(ids, [7, None], np.array([size, 0]))
+    segment = rans.Segment(data)
+    assert (segment.ids() == ids).all() and segment.docs == [7, None] and segment.lengths.tolist() == [size, 0]
+
+
+def test_decoding_from_checkpoints_and_broken_files():
+    ids = np.random.default_rng(3).integers(0, 999, 5000)
+    symbols, freq = rans.frequencies(ids)
+    assert freq.sum() == 1 << rans.SCALE and freq.min() >= 1
+    block = rans.encode_block(np.searchsorted(symbols, ids), freq, lanes=16, stride=50)
+    slots = np.repeat(np.arange(len(symbols)), freq)
+    parts = [rans.decode_block(block, freq, slots, checkpoint=k, last=k + 1) for k in range(math.ceil(5000 / 16 / 50))]
+    assert (symbols[np.concatenate(parts)] == ids).all()
+    broken = bytearray(block)
+    broken[100] ^= 1
+    with pytest.raises(ValueError):
+        rans.decode_block(bytes(broken), freq, slots)
+    whole = bytearray(rans.pack(ids, [1], np.array([5000])))
+    whole[30] ^= 1
+    with pytest.raises(ValueError):
+        rans.Segment(bytes(whole))
+
+
+def test_token_files(spark, docs):
+    rng = random.Random(1)
+    texts = [None, "", " ", "It's a TEST.", "a<|endoftext|>b", "É é́ x y z", "ΑΣ ΣΑΣ", "\x85q 12", "w" * 3000]
+    texts += [" ".join(rng.choice(["one", "Two,", "3.5", "naïve", "x"]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    rows = [(100 - i, t) for i, t in enumerate(texts)] + [(None, "null id"), (100, "again")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = rans.write(docs(rows), PATH, segment=300)
+    assert manifest.count() > 3
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in rans.read(manifest).collect())
+    tokenizer, at, want = Tokenizer.from_file(PATH), 0, []
+    for id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((at, id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == want
+    assert rans.read(rans.write(docs([]), PATH)).count() == 0
+
+
+PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
+
+
+def test_archives(spark):
+    rows = [(1, "http://a/ b\r\nc", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 200_000),
+            (6, "u", "a\r\n\r\nb"), (7, "u", "one"), (7, "u", "one"), (None, "u", "one"), (None, None, "lone"), (None, None, "lone")]
+    manifest = warc.write(spark.createDataFrame(rows, PAGES), limit=300)
+    got = sorted(map(tuple, warc.read(manifest).collect()), key=repr)
+    size = lambda t: len((t or "").encode())
+    want = [(1, 2), (2, None), (3, 4), (4, None), (5, None), (6, None), (7, None), (7, 7), (None, 7), (None, None), (None, None)]
+    kinds = ["revisit", "response", "revisit", "response", "response", "response", "response", "revisit", "revisit", "response", "revisit"]
+    assert got == sorted(
+        ((p, size(r[2]), warc.digest((r[2] or "").encode()), k, to) for (p, to), k, r in zip(want, kinds, rows)), key=repr
+    )
+    # Any reader of gzip files can read them.
+    first = gzip.decompress(store.read(manifest.first().path)).decode()
+    assert first.startswith("WARC/1.1\r\nWARC-Type: ")
+    assert warc.read(warc.write(spark.createDataFrame([], PAGES))).count() == 0
+
+
+def test_the_sequential_reader():
+    records = [warc.record(i, "u", bytes([65 + i]) * n, None) for i, n in enumerate([0, 1, 70_000])]
+    for chunk in (1, 7, 1 << 16):
+        found = [warc.described(*r) for r in warc.Reader(io.BytesIO(b"".join(records)), chunk)]
+        assert [f[:2] for f in found] == [(0, 0), (1, 1), (2, 70_000)]
+    with pytest.raises(ValueError):
+        list(warc.Reader(io.BytesIO(records[2][:-20])))
+    plain = bytearray(gzip.decompress(records[1]))
+    plain[plain.index(b"B", -8)] = 67
+    with pytest.raises(ValueError):
+        list(warc.Reader(io.BytesIO(gzip.compress(bytes(plain)))))
+
+
+def labelled_rows(rng, n):
+    calm = "river stone window paper garden morning letter bridge summer winter table music".split()
+    rude = "dreadful rotten beastly".split()
+    rows = []
+    for i in range(n):
+        words = [rng.choice(calm) for _ in range(rng.randint(5, 60))]
+        bad = i % 5 == 0
+        if bad:
+            for _ in range(2):
+                words.insert(rng.randrange(len(words)), rng.choice(rude))
+        rows.append((i, " ".join(words).capitalize() + ".", int(bad)))
+    return rows
+
+
+def test_toxicity_on_rows_it_has_not_seen(spark, docs):
+    rows = labelled_rows(random.Random(1), 1500)
+    table = docs([r[:2] for r in rows] + [(5000, None), (5001, ""), (None, "dreadful rotten river"), (0, rows[0][1])])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(toxicity.labelled(table, labels))
+    assert 0 < len(model.coordinates) < 2000
+    scored = toxicity.score(table, model).select("doc_id", "score", toxicity.held_out().alias("out")).collect()
+    truth = {i: y for i, _, y in rows}
+    tested = [(truth[r.doc_id], r.score >= toxicity.THRESHOLD) for r in scored if r.out and r.doc_id in truth]
+    assert len(tested) > 200 and np.mean([y == p for y, p in tested]) > 0.97
+    by_id = {r.doc_id: r.score for r in scored}
+    assert by_id[5000] == by_id[5001] < toxicity.THRESHOLD < by_id[None]
+    assert len([r for r in scored if r.doc_id == 0]) == 2
+
+
+def test_toxicity_without_labels(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(toxicity.labelled(docs([(1, "a")]), labels))
+    assert toxicity.score(docs([(1, "a")]), model).first().score == 0.0
+
+
+def test_held_out_rows(docs):
+    rows = docs([(i,) for i in range(40)]).select("doc_id", toxicity.held_out().alias("out")).collect()
+    assert all(r.out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def earliest_deadline_first(units, frame):
+    done, picks = [0] * len(units), []
+    for slot in range(frame):
+        ready = [((done[i] + 1) * frame / k, i) for i, k in enumerate(units) if done[i] * frame // k <= slot]
+        picks.append(min((math.ceil(d), i) for d, i in ready)[1])
+        done[picks[-1]] += 1
+    return picks
+
+
+@pytest.mark.parametrize("weights", [[1.0], [0.5, 0.3, 0.2], [0.9] + [0.01] * 10, [3.0] * 7 + [1.0] * 7])
+def test_schedule(spark, weights):
+    frame = 200
+    table = spark.createDataFrame([(f"s{i:02}", w) for i, w in enumerate(weights)], "source string, weight double")
+    rows = sorted(mixing.schedule(table, frame).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(frame))
+    names = sorted({r.source for r in rows})
+    units = [next(r.units for r in rows if r.source == n) for n in names]
+    assert sum(units) == frame and all(abs(k - frame * w / sum(weights)) < 2 + len(weights) for k, w in zip(units, weights))
+    assert [names.index(r.source) for r in rows] == earliest_deadline_first(units, frame)
+    # After every slot each source is less than one block off.
+    for name, k in zip(names, units):
+        count = np.cumsum([r.source == name for r in rows])
+        assert (np.abs(count - k * np.arange(1, frame + 1) / frame) < 1).all()
+
+
+def test_interleave(spark, docs):
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.randrange(200), None, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(500)]
+    rows += [(500, None, None, "a"), (501, "y" * 2500, None, "b"), (None, "z", None, None), (7, "x", None, "a"), (7, "x", None, "a")]
+    table = docs(rows)
+    placed = mixing.interleave(table, mixing.proportions(table), block_chars=300, frame=50, keep=table.columns).collect()
+    assert len(placed) == len(rows)
+    frame = {(r.source, r.turn): (r.slot, r.units) for r in mixing.schedule(mixing.proportions(table), 50).collect()}
+    for source in ("a", "b", "c", None):
+        own = sorted((r for r in placed if r.source == source), key=lambda r: (r.start_char, len(r.text or "")))
+        at = 0
+        for r in own:
+            assert r.start_char == at and r.block == at // 300
+            slot, units = frame[source, r.block % dict(((s, t), u) for (s, t), (_, u) in frame.items())[source, 0]]
+            assert r.slot == r.block // units * 50 + slot
+            at += len(r.text or "")
+    # Up to the first source's end, weights hold within a block.
+    slots = [r.slot for r in placed if not r.in_mix]
+    assert slots and max(r.slot for r in placed if r.in_mix) < min(slots)
+    empty = docs([])
+    assert mixing.interleave(empty, mixing.proportions(empty)).count() == 0
+
+
+def test_mixing_runs_no_python(docs):
+    table = docs([(1, "a", None, "s")])
+    plan = mixing.interleave(table, mixing.proportions(table))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("id", T.StringType())])
+
+
+@pytest.mark.parametrize("bucket, spread", [(2048, 1.0), (16, 1.0), (7, 4.0)])
+def test_top_products(spark, monkeypatch, bucket, spread):
+    monkeypatch.setattr(topk, "BUCKET", bucket)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=(300, 8)) * np.exp(spread * rng.normal(size=(300, 1)))
+    values[50:90] = values[50]
+    rows = [(i, [float(x) for x in np.float32(v)], None) for i, v in enumerate(values)]
+    rows += [(400, None, None), (401, [1.0, None] * 4, None), (402, [float("nan")] * 8, None), (403, [float("inf")] * 8, None),
+             (None, [9.0] * 8, None), (404, [], None), (20, rows[20][1], None)]
+    found = topk.top_products(spark.createDataFrame(rows, VECTORS), every=20, k=10).collect()
+    usable = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v, _ in rows[:300] + rows[-1:]]
+    want = set()
+    for q, x in {i: v for i, v in usable if i % 20 == 0}.items():
+        best = sorted((-int(x @ v), i) for i, v in usable if i != q)[:10]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in found} == want
+
+
+def test_few_candidates(spark):
+    rows = [(0, [1.0, -1.0], None), (1, [0.5, 0.5], None), (3, [1.0], None)]
+    found = topk.top_products(spark.createDataFrame(rows, VECTORS)).collect()
+    assert [tuple(r) for r in found] == [(0, 1, 1, 0)]
+    assert topk.top_products(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_quantiles_of_queries_by_sql(spark):
+    """The registered SQL gives the same as the operator; also covered by the checks of all queries."""
+    from pairbench.llm.queries import op10_exact_top_k
+    from pairbench.workload.registry import CHECKS
+
+    folder = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    want = {tuple(r) for r in connection.sql(CHECKS["op10_exact_top_k"]).fetchall()}
+    got = op10_exact_top_k(spark, folder).select("query_id", "rank", "vec_id", F.col("score")).collect()
+    assert {tuple(r) for r in got} == want
