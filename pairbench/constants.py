@@ -48,7 +48,7 @@ SECTION_TEXTS = ("history_text", "examination_text", "assessment_plan_text")
 
 # Sentinels that occur as output values.
 NOT_EXTRACTED = "unable_to_extract"
-CALL_FAILED = "Error_with_API_CYKW"
+CALL_FAILED = "scoring_call_failed"
 
 # The prompt.
 PROMPT_INTRO = (

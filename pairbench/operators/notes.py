@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from pairbench.constants import (
 )
 from pairbench.functions import text as X
 from pairbench.operators import tables
+from pairbench.operators.sampling import BROADCAST_ROWS
 
 
 def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -34,14 +35,20 @@ def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def attach_text(headers: DataFrame, note_text: DataFrame) -> DataFrame:
+def attach_text(headers: DataFrame, note_text: DataFrame, rows: int | None = None) -> DataFrame:
     """Add the texts of notes.
 
-    Texts are never broadcast: compressed files say little about their size, and
-    the work on them should spread over as many tasks as they fill.
+    Only wanted texts should shuffle. If the number of header rows is known and
+    small, their keys are broadcast and pick the texts at the scan. Otherwise the
+    texts join by sorting, and Spark builds a Bloom filter of the keys where
+    headers are a small part (``tune`` raises its size limit). Texts themselves
+    are never broadcast: compressed files say little about their size.
     """
-    texts = note_text.select("deid_note_key", "note_text").hint("merge")
-    return tables.merge(headers, texts, "deid_note_key", how="left")
+    texts = note_text.select("deid_note_key", "note_text")
+    if rows is not None and rows <= BROADCAST_ROWS:
+        wanted = headers.select(F.col("deid_note_key").alias("__wanted")).distinct()
+        texts = texts.join(F.broadcast(wanted), F.col("deid_note_key") == F.col("__wanted"), "left_semi")
+    return tables.merge(headers, texts.hint("merge"), "deid_note_key", how="left")
 
 
 def with_visit(df: DataFrame) -> DataFrame:
@@ -79,21 +86,29 @@ def first_clean_notes(cohort: DataFrame) -> DataFrame:
 
 
 def earliest_notes(headers: DataFrame) -> DataFrame:
-    """All notes of the earliest date of each visit; missing dates count as latest."""
-    visit, date = F.col("visit_occurrence_id"), F.col("deid_service_date")
-    earliest = headers.groupBy(visit.alias("__visit")).agg(F.min(date).alias("__date"))
-    same = (visit == F.col("__visit")) & date.eqNullSafe(F.col("__date"))
-    return headers.join(earliest, same).drop("__visit", "__date")
+    """All notes of the earliest date of each visit; missing dates count as latest.
+
+    Headers are read once. Spark applies the limit of the rank before the shuffle
+    as well, so later notes of a hot visit do not travel.
+    """
+    by_date = Window.partitionBy("visit_occurrence_id").orderBy(F.asc_nulls_last("deid_service_date"))
+    return headers.withColumn("__rank", F.rank().over(by_date)).filter("__rank = 1").drop("__rank")
 
 
-def first_clean_notes_by_header(headers: DataFrame, note_text: DataFrame) -> DataFrame:
+def first_clean_notes_by_header(headers: DataFrame, note_text: DataFrame, rows: int | None = None) -> DataFrame:
     """One cleaned note per visit, from note headers and the table of texts.
 
     The date alone rules out most notes of a visit, so it is compared before any
-    text is fetched; lengths decide among those that are left.
+    text is fetched; lengths decide among those that are left. Only texts of
+    visits with several candidates shuffle again, by visit. ``rows`` is the number
+    of headers, if it is known.
     """
-    candidates = attach_text(earliest_notes(with_visit(headers)), note_text)
-    return clean_notes(first_note_per_visit(measure_notes(candidates)))
+    visit = Window.partitionBy("visit_occurrence_id")
+    candidates = earliest_notes(with_visit(headers)).withColumn("__several", F.count(F.lit(1)).over(visit) > 1)
+    measured = measure_notes(attach_text(candidates, note_text, rows))
+    alone = measured.filter("NOT __several")
+    chosen = first_note_per_visit(measured.filter("__several"))
+    return clean_notes(alone.unionByName(chosen).drop("__several"))
 
 
 def first_note_per_visit(df: DataFrame) -> DataFrame:

@@ -85,12 +85,14 @@ def cost_estimate(df: DataFrame, tokens: str, rate_per_1000: float = TOKEN_RATE_
 def histogram(df: DataFrame, column: str, scale: str = "linear", bins: int = 20) -> DataFrame:
     """Equal-width bins over the integer part of a column, or over its natural log.
 
-    Reads the column twice: once for its range and once for the counts.
+    Reads the column twice: once for its range and once for the counts. Values
+    that are no finite numbers are left out.
     """
     if scale not in ("linear", "log"):
         raise ValueError(f"scale must be linear or log, not {scale!r}")
-    raw = F.col(column).cast("double")
-    value = F.when(raw > 0, F.ln(raw)) if scale == "log" else F.col(column).try_cast("int").cast("double")
+    raw = F.col(column).try_cast("double")
+    finite = F.when(F.abs(raw) < F.lit(float("inf")), raw)
+    value = F.when(finite > 0, F.ln(finite)) if scale == "log" else finite - finite % 1
     values = df.select(value.alias("x")).filter("x IS NOT NULL")
     span = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("span"))
     binned = values.withColumn("span", span.scalar()).select(

@@ -154,11 +154,14 @@ def stratified_sample(
     known = None if strata is None else len(strata)
     length = None if strata is None else n * len(strata)
     ranks, sizes = stratum_ranks(df, stratum, key, seed, known)
-    # Slots are numbered in blocks, so that no row ever holds an array of all n.
+    # Slots are numbered in blocks, so that no row ever holds an array of all n. The
+    # blocks are dealt out by number: one task would make all slots of a stratum else.
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _BLOCK))).alias("block")
     within = F.explode(F.sequence(F.lit(0), F.lit(_BLOCK - 1))).alias("within")
     slots = (
         sizes.select(stratum, block)
+        .repartition(spread, stratum, "block")
         .select(stratum, "block", within)
         .select(stratum, (F.col("block").cast("bigint") * _BLOCK + F.col("within")).alias("slot"))
         .filter(F.col("slot") < n)
@@ -174,10 +177,17 @@ def sample_rows(df: DataFrame, n: int, key: str | Sequence[str], seed=SAMPLE_SEE
     return df.orderBy(digest, *_keys(key)).limit(n)
 
 
-def sample_fraction(df: DataFrame, n: int, seed: int = SAMPLE_SEED) -> DataFrame:
-    """About n rows without replacement and never more than n."""
+def sample_fraction(df: DataFrame, n: int, key: str | Sequence[str], seed=SAMPLE_SEED) -> DataFrame:
+    """About n rows without replacement and never more than n.
+
+    Each row is drawn by its own hash with probability n / rows. Should more than
+    n be drawn, the first n in random order stay, so the cap favours no rows, and
+    the sample does not depend on partitions.
+    """
     total = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    return df.filter(F.rand(seed) < F.lit(float(n)) / F.greatest(total, F.lit(1.0))).limit(n)
+    share = F.least(F.lit(float(n)) / F.greatest(total, F.lit(1.0)), F.lit(1.0))
+    drawn = seeded_order(seed, *_keys(key)) < (share * F.lit(float(1 << _HASH_BITS))).cast("bigint")
+    return exact_sample(df.filter(drawn), n, key, seed)
 
 
 def shuffle_rows(df: DataFrame, key: str | Sequence[str], seed) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import sys
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairbench.constants import CALL_FAILED, QUOTA_SECONDS
@@ -22,8 +23,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PAIR_ID = "visit_occurrence_id_combined"
 
-# A scorer gets one row as a mapping and returns the response as a string.
-Scorer = Callable[[Mapping], str]
+# A scorer gets one row as a mapping and returns the response as a string; a batch
+# scorer gets a list of rows and returns a list of responses.
+Scorer = Callable[[Mapping], str] | Callable[[Sequence[Mapping]], Sequence[str]]
 
 
 def paced(seconds_per_call: float, clock=time.monotonic, sleep=time.sleep) -> Callable[[], None]:
@@ -42,22 +44,43 @@ def paced(seconds_per_call: float, clock=time.monotonic, sleep=time.sleep) -> Ca
 
 
 def scoring_task(
-    scorer: Scorer, seconds_per_call: float = 0.0, failed: str = CALL_FAILED, pacer=paced
+    scorer: Scorer,
+    seconds_per_call: float = 0.0,
+    failed: str = CALL_FAILED,
+    pacer=paced,
+    rows_per_call: int | None = None,
+    calls_at_once: int = 1,
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The work of one partition: one attempt per row, a failed call gives the sentinel."""
+    """The work of one partition: one attempt per call, a failed call gives the sentinel.
+
+    With ``rows_per_call`` the scorer gets lists of rows. Calls start one after
+    another, at the pace of the quota, and ``calls_at_once`` of them may be open.
+    """
     columns = RESPONSES.names
 
+    def call(rows: list[dict]) -> list[str]:
+        try:
+            found = list(scorer(rows)) if rows_per_call else [scorer(rows[0])]
+            if len(found) != len(rows):
+                raise ValueError("a scorer must give one response per row")
+            return found
+        except Exception:
+            return [failed] * len(rows)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wait = pacer(seconds_per_call) if seconds_per_call else None
+        size = rows_per_call or 1
+
+        def started(pool, rows):
+            if wait is not None:
+                wait()
+            return pool.submit(call, rows)
+
         for batch in batches:
-            responses = []
-            for row in batch.to_dict("records"):
-                if wait is not None:
-                    wait()
-                try:
-                    responses.append(scorer(row))
-                except Exception:
-                    responses.append(failed)
+            rows = batch.to_dict("records")
+            with ThreadPoolExecutor(calls_at_once) as pool:
+                calls = [started(pool, rows[i : i + size]) for i in range(0, len(rows), size)]
+                responses = [r for c in calls for r in c.result()]
             yield batch.assign(response_json=pd.Series(responses, index=batch.index, dtype=object))[columns]
 
     return run
@@ -74,9 +97,14 @@ def score_pairs(
     inputs: tuple[str, ...] = (),
     partitions: int | None = None,
     calls_per_minute: float | None = None,
+    last_by: Column | None = None,
+    rows_per_call: int | None = None,
+    calls_at_once: int = 1,
 ) -> DataFrame:
     """Score each distinct prompt of each pair id once.
 
+    With ``last_by``, only the last prompt of each id in that order is scored.
+
     ``inputs`` names further columns the scorer needs. With a quota, each of the
     ``partitions`` tasks keeps to its share of it, which holds however many of
     them run at a time. The result has pair id, prompt and response; it should be
@@ -84,24 +112,40 @@ def score_pairs(
     """
     partitions = partitions or pairs.sparkSession.sparkContext.defaultParallelism
     pause = partitions * QUOTA_SECONDS / calls_per_minute if calls_per_minute else 0.0
-    prompts = pairs.select(PAIR_ID, "prompt", *inputs).dropDuplicates([PAIR_ID, "prompt"])
-    # By a hash of its own: on the keys of the deduplication, Spark would drop this
-    # shuffle and then merge partitions, and fewer tasks would be left to score.
-    spread = prompts.repartition(partitions, F.xxhash64(PAIR_ID, "prompt"))
-    return spread.mapInPandas(scoring_task(scorer, pause), schema=RESPONSES)
+    columns = [PAIR_ID, "prompt", *inputs]
+    # Dealt out by number first: that is the shuffle of the deduplication too, and
+    # its partitions are not merged, so all of them are left to score.
+    if last_by is None:
+        spread = pairs.select(*columns).repartition(partitions, PAIR_ID, "prompt").dropDuplicates([PAIR_ID, "prompt"])
+    else:
+        spread = pairs.select(*columns, last_by.alias("__order")).repartition(partitions, PAIR_ID)
+        last = F.max_by(F.struct(*columns), "__order").alias("last")
+        spread = spread.groupBy(PAIR_ID).agg(last).select("last.*")
+    task = scoring_task(scorer, pause, rows_per_call=rows_per_call, calls_at_once=calls_at_once)
+    return spread.mapInPandas(task, schema=RESPONSES)
+
+
+def _prompt_hash() -> Column:
+    """Stands for the prompt in joins, which then carry no long keys."""
+    return F.sha2("prompt", 256)
 
 
 def score_remaining(pairs: DataFrame, stored: DataFrame, scorer: Scorer, **options) -> DataFrame:
     """Score only what has no stored response, and return old and new responses."""
-    open_pairs = pairs.join(stored.select(PAIR_ID, "prompt").distinct(), [PAIR_ID, "prompt"], "left_anti")
+    key = [PAIR_ID, "__prompt"]
+    known = stored.select(PAIR_ID, _prompt_hash().alias("__prompt")).distinct()
+    open_pairs = pairs.withColumn("__prompt", _prompt_hash()).join(known, key, "left_anti").drop("__prompt")
     fresh = stage(score_pairs(open_pairs, scorer, **options))
     return tables.union_rows(stored.select(*RESPONSES.names), fresh)
 
 
 def attach_responses(pairs: DataFrame, responses: DataFrame) -> DataFrame:
     """Add the response to every pair with the same id and prompt; others are dropped."""
-    answered = responses.select(*RESPONSES.names).filter("response_json IS NOT NULL")
-    return pairs.join(answered, [PAIR_ID, "prompt"])
+    answered = responses.filter("response_json IS NOT NULL").select(
+        PAIR_ID, _prompt_hash().alias("__prompt"), "response_json"
+    )
+    columns = [PAIR_ID, "prompt", *[c for c in pairs.columns if c not in (PAIR_ID, "prompt")], "response_json"]
+    return pairs.withColumn("__prompt", _prompt_hash()).join(answered, [PAIR_ID, "__prompt"]).select(*columns)
 
 
 def parse_responses(df: DataFrame, detect_both: bool = False) -> DataFrame:

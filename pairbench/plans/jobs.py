@@ -19,7 +19,7 @@ from pairbench.functions import labels as L
 from pairbench.functions.text import token_count
 from pairbench.operators import metrics, notes, pairing, profile, sampling, scoring, tables
 from pairbench.schemas import COHORT_VISIT_COLUMNS, DEMOGRAPHIC_COLUMNS, NOTE_METADATA, PAIRS
-from pairbench.sources.files import stage
+from pairbench.sources.files import stage, stages
 
 
 def visits_with_demographics(visits: DataFrame, patients: DataFrame) -> DataFrame:
@@ -94,10 +94,13 @@ def prepare_notes(cohort: DataFrame, count: Callable[[Column], Column] = token_c
 
 
 def prepare_from_headers(
-    headers: DataFrame, note_text: DataFrame, count: Callable[[Column], Column] = token_count
+    headers: DataFrame,
+    note_text: DataFrame,
+    count: Callable[[Column], Column] = token_count,
+    rows: int | None = None,
 ) -> DataFrame:
     """The same from cohort headers, fetching only the texts of notes that may stay."""
-    return _sections_and_counts(notes.first_clean_notes_by_header(headers, note_text), count)
+    return _sections_and_counts(notes.first_clean_notes_by_header(headers, note_text, rows), count)
 
 
 def refine_notes(prepared: DataFrame, token_limit: int = HISTORY_TOKEN_LIMIT) -> DataFrame:
@@ -157,14 +160,21 @@ def run_chain(
     inputs: tuple[str, ...] = (),
     partitions: int | None = None,
 ) -> dict[str, DataFrame]:
-    """All jobs in a row with a stage table after each; returns the stages by name."""
-    headers = stage(cohort_headers(*[domain[t] for t in ("visits", "patients", "durations", "note_metadata")]))
-    refined = stage(refine_notes(prepare_from_headers(headers, domain["note_text"])))
-    pairs = stage(build_pairs(refined, n, seed))
+    """All jobs in a row with a stage table after each; returns the stages by name.
+
+    Stage tables that only lead to a returned one are removed.
+    """
     results = {}
-    for name, scorer in scorers.items():
-        responses = stage(scoring.score_pairs(pairs, scorer, inputs, partitions))
-        results[name] = stage(metrics.mark_results(scoring.process_responses(pairs, responses)))
+    with stages() as made:
+        headers = stage(cohort_headers(*[domain[t] for t in ("visits", "patients", "durations", "note_metadata")]))
+        refined = stage(refine_notes(prepare_from_headers(headers, domain["note_text"], rows=headers.count())))
+        made.keep()
+        pairs = stage(build_pairs(refined, n, seed))
+        made.keep()
+        for name, scorer in scorers.items():
+            responses = stage(scoring.score_pairs(pairs, scorer, inputs, partitions))
+            results[name] = stage(metrics.mark_results(scoring.process_responses(pairs, responses)))
+            made.keep()
     annotations = annotate(pairs)
     return {
         "refined": refined,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairbench.session import shared_dir
@@ -70,14 +72,32 @@ def read_csv(
     return df.drop(_INDEX_COLUMN)
 
 
+def csv_rows_per_file(df: DataFrame, max_bytes: int) -> int:
+    """How many of the longest rows fit into ``max_bytes``, quotes and separators included.
+
+    Reads the table once. Fields that are no strings count as 32 bytes.
+    """
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    row = sum(text, F.lit(35 * max(1, len(df.columns))))
+    longest = df.agg(F.max(row)).first()[0] or 1
+    return max(1, max_bytes // longest)
+
+
 def write_csv(
-    df: DataFrame, path: str, mode: str = "overwrite", max_rows_per_file: int = 500_000
+    df: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    max_rows_per_file: int = 500_000,
+    max_bytes_per_file: int | None = 256 << 20,
 ) -> None:
     """Write CSV with every field quoted.
 
     A file whose texts hold line breaks is read back by one task, hence the
-    bound on rows per file.
+    bounds on rows and bytes per file. The latter is kept by the measured length
+    of the longest row; None spares that look at the table.
     """
+    if max_bytes_per_file is not None:
+        max_rows_per_file = min(max_rows_per_file, csv_rows_per_file(df, max_bytes_per_file))
     (
         df.write.mode(mode)
         .options(**_CSV_OPTIONS)
@@ -101,4 +121,43 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or shared_dir(spark)
     write_parquet(df, path)
+    for scope in _scopes:
+        scope.paths.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+class _Stages:
+    """The stage tables made within a scope."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def keep(self) -> None:
+        """The latest stage table stays, and those before it that are not kept go."""
+        self._remove(self.paths[:-1])
+        self.paths.clear()
+
+    def _remove(self, paths) -> None:
+        for spark, path in paths:
+            remove(spark, path)
+
+
+_scopes: list[_Stages] = []
+
+
+@contextmanager
+def stages() -> Iterator[_Stages]:
+    """A scope whose stage tables are removed at its end, but for those kept."""
+    scope = _Stages()
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        scope._remove(scope.paths)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

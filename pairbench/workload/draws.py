@@ -27,9 +27,16 @@ def sample_n(spark, folder):
     return sampling.sample_rows(df, 20, "o_orderkey")
 
 
-@query("sample_fraction")
+@query(
+    "sample_fraction",
+    f"""SELECT o_orderkey, o_custkey, o_totalprice
+    FROM (SELECT *, {hash_number(f"'{SAMPLE_SEED}-' || o_orderkey")} AS place, count(*) OVER () AS total FROM orders)
+    WHERE place < CAST(floor(least(1000::DOUBLE / total, 1) * (1::BIGINT << 60)) AS BIGINT)
+    QUALIFY row_number() OVER (ORDER BY place, o_orderkey) <= 1000""",
+)
 def sample_fraction(spark, folder):
-    return sampling.sample_fraction(testbed.table(spark, folder, "orders"), 1000)
+    df = testbed.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return sampling.sample_fraction(df, 1000, "o_orderkey")
 
 
 @query(

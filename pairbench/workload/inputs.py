@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairbench.constants import PAIRS_PER_CLASS
-from pairbench.operators import metrics, pairing, scoring
+from pairbench.operators import metrics, notes, pairing, scoring
 from pairbench.plans import jobs
 from pairbench.sources import testbed
 from pairbench.sources.files import stage
@@ -18,6 +18,18 @@ def cohort(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.cohort_notes(**testbed.domain(spark, folder))
 
 
+def headers(spark: SparkSession, folder: str) -> DataFrame:
+    """The cohort without texts."""
+    domain = testbed.domain(spark, folder)
+    domain.pop("note_text")
+    return jobs.cohort_headers(**domain)
+
+
+def first_notes(spark: SparkSession, folder: str) -> DataFrame:
+    note_text = testbed.domain(spark, folder)["note_text"]
+    return notes.first_clean_notes_by_header(headers(spark, folder), note_text)
+
+
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
     domain = testbed.domain(spark, folder)
     note_text = domain.pop("note_text")

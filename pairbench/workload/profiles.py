@@ -113,7 +113,7 @@ def column_equality(spark, folder):
     ["cohort"],
 )
 def duplicate_profile(spark, folder):
-    return profile.duplicate_profile(inputs.cohort(spark, folder), "visit_occurrence_id")
+    return profile.duplicate_profile(inputs.headers(spark, folder), "visit_occurrence_id")
 
 
 _LIMIT = MODEL_TOKEN_LIMIT - INTRO_TOKENS - ANSWER_RESERVE
@@ -171,7 +171,7 @@ def histogram_log(spark, folder):
     ["cohort"],
 )
 def cohort_stats(spark, folder):
-    return profile.cohort_stats(inputs.cohort(spark, folder))
+    return profile.cohort_stats(inputs.headers(spark, folder))
 
 
 @query(
@@ -182,8 +182,7 @@ def cohort_stats(spark, folder):
     ["flagged"],
 )
 def section_prevalence(spark, folder):
-    first = notes.first_clean_notes(inputs.cohort(spark, folder))
-    return profile.section_prevalence(notes.add_section_flags(first))
+    return profile.section_prevalence(notes.add_section_flags(inputs.first_notes(spark, folder)))
 
 
 def _funnel_sql(table: str, steps) -> str:

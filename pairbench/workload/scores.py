@@ -13,18 +13,14 @@ from pairbench.sources.files import stage
 from pairbench.workload import checks, inputs
 from pairbench.workload.registry import query
 
-_STEPS = 1_000_000
-
-
 @query(
     "dedup_prompts",
-    f"""SELECT visit_occurrence_id_combined, arg_max(prompt, pair_class * {_STEPS} + slot) AS prompt
-    FROM pairs GROUP BY 1""",
+    """SELECT visit_occurrence_id_combined, prompt FROM pairs
+    QUALIFY row_number() OVER (PARTITION BY visit_occurrence_id_combined ORDER BY pair_class DESC, slot DESC) = 1""",
     ["pairs"],
 )
 def dedup_prompts(spark, folder):
-    order = F.col("pair_class").cast("bigint") * _STEPS + F.col("slot")
-    return scoring.prompts_by_id(inputs.pairs(spark, folder), order)
+    return scoring.prompts_by_id(inputs.pairs(spark, folder), F.struct("pair_class", "slot"))
 
 
 @query("score_pairs", "SELECT * FROM responses", ["responses"])
@@ -242,5 +238,10 @@ def _evaluation_sql() -> str:
 @query("evaluate", _evaluation_sql(), ["results", "results2", "annotations"])
 def evaluate(spark, folder):
     pairs = inputs.staged_pairs(spark, folder)
-    results = {"model 1": stage(inputs.results(pairs)), "model 2": stage(inputs.results(pairs, True))}
+    # Only what is counted is written.
+    columns = [scoring.PAIR_ID, metrics.STRATUM, metrics.TRUTH, "label"]
+    results = {
+        "model 1": stage(inputs.results(pairs).select(*columns)),
+        "model 2": stage(inputs.results(pairs, True).select(*columns)),
+    }
     return _rounded(jobs.evaluate(results, inputs.annotations(pairs)))

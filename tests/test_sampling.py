@@ -88,10 +88,28 @@ def test_stratified_sample_does_not_depend_on_partitions(spark):
 
 
 def test_sample_fraction(spark):
-    n = sampling.sample_fraction(spark.range(20000), 1000).count()
-    assert 850 <= n <= 1000
-    assert sampling.sample_fraction(spark.range(10), 1000).count() == 10
-    assert sampling.sample_fraction(spark.range(0), 5).count() == 0
+    def drawn(partitions, seed=42):
+        return sorted(r.id for r in sampling.sample_fraction(spark.range(0, 20000, 1, partitions), 1000, "id", seed).collect())
+
+    for seed in range(6):
+        rows = drawn(1, seed)
+        assert 850 <= len(rows) <= 1000 and rows == drawn(64, seed)
+        # No part of the table is favoured, also where the cap cuts.
+        assert abs(sum(rows) / len(rows) - 10000) < 800
+    assert any(len(drawn(1, seed)) == 1000 for seed in range(6))
+    assert sampling.sample_fraction(spark.range(10), 1000, "id").count() == 10
+    assert sampling.sample_fraction(spark.range(0), 5, "id").count() == 0
+
+
+def test_slots_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 2).alias("level"))
+    sample = sampling.stratified_sample(df, "level", "id", 200_000, 3)
+    # Slots meet the ranks in several tasks and are all there.
+    assert sample.groupBy("level").agg(F.count_distinct("slot").alias("n")).collect() == [(0, 200_000), (1, 200_000)] or sorted(
+        tuple(r) for r in sample.groupBy("level").agg(F.count_distinct("slot")).collect()
+    ) == [(0, 200_000), (1, 200_000)]
 
 
 def test_shuffle_keeps_all_rows_in_hash_order(spark):
