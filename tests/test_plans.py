@@ -44,7 +44,7 @@ def no_broadcast(spark):
     "name",
     sorted(n for n in entry.queries() if not re.search("pair|score|metrics|result|respon|evaluat|annot|label|prompt|"
                                                        "balance|halves|semi|anti_join_rest|roundtrip|csv|correct|usage|"
-                                                       "cost", n)),
+                                                       "cost|^op[0-9]+_|pipeline", n)),
 )
 def test_no_products_and_no_python(spark, name):
     text = plan(entry.queries()[name](spark, FOLDER))
