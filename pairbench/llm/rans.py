@@ -45,13 +45,15 @@ from pairbench.session import shared_dir
 
 END = 2
 SEGMENT = 8 << 20
-BLOCK = 1 << 20
-LANES = 512
-STRIDE = 512
-SCALE = 20
+BLOCK = 2 << 20
+LANES = 4096
+STRIDE = 256
+SCALE = 18
 #: Words that a Python worker remembers with their ids, about 200 bytes each.
 CACHE = 500_000
 _LOW = np.uint64(1 << 31)
+_SIGNS = ".,;:!?"
+_GROUP = 100
 _MAGIC = b"TIDRANS1"
 _HEAD = struct.Struct("<8sIIII")
 _BLOCK_HEAD = struct.Struct("<IIIII")
@@ -62,6 +64,10 @@ class Tokens:
 
     Such a tokenizer gives a text the ids of its words one after another, so each
     distinct word is tokenised once per batch, or not at all if it is remembered.
+    A word of letters alone has the same ids with or without the signs after it
+    and whatever the case of its ASCII letters, if the tokenizer lower-cases; then
+    many of them go to the tokenizer as one text, and the tokens that end a word
+    part its ids again.
     """
 
     #: Kept by a worker for all its tasks.
@@ -71,20 +77,67 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
         self.tokenizer = Tokenizer.from_file(path)
         self.known = self.remembered.setdefault(path, {})
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        ends = [i for token, i in vocabulary.items() if token.endswith("</w>")]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[ends] = True
+        probe = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("Word", "word", "word word", "word.", ".")]
+        self.folds = bool(ends) and probe[0] == probe[1] and probe[2] == 2 * probe[1] and probe[3] == probe[1] + probe[4]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, np.uint32).tobytes() for f in found]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        groups = [words[i : i + _GROUP] for i in range(0, len(words), _GROUP)]
+        found = []
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+            values = np.frombuffer(ids, np.uint32)
+            stops = 4 * (np.flatnonzero(self.ends[np.minimum(values, len(self.ends) - 1)]) + 1)
+            if len(stops) == len(group) and stops[-1] == len(ids):
+                stops = stops.tolist()
+                found += [ids[a:b] for a, b in zip([0, *stops], stops)]
+            else:
+                found += self._encode(group)
+        return found
+
+    def _ids(self, units: pa.Array) -> list[bytes]:
+        """Ids of distinct words, or of words of letters and of the signs after them."""
+        names = units.to_numpy(zero_copy_only=False).tolist()
+        fresh = [n for n in names if n not in self.known]
+        if len(self.known) + len(fresh) > CACHE:
+            self.known.clear()
+            fresh = names
+        letters = [n for n in fresh if n.isalpha()] if self.folds else []
+        self.known.update(zip(letters, self._encode_words(letters)))
+        rest = [n for n in fresh if n not in self.known]
+        self.known.update(zip(rest, self._encode(rest)))
+        return [self.known[n] for n in names]
+
+    def _word_ids(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words."""
+        if not self.folds:
+            return self._ids(words)
+        core = pc.ascii_rtrim(words, _SIGNS)
+        plain = pc.utf8_is_alpha(core)
+        units = pc.if_else(plain, pc.ascii_lower(core), words).dictionary_encode()
+        found = self._ids(units.dictionary)
+        cut = pc.if_else(plain, pc.subtract(pc.binary_length(words), pc.binary_length(core)), 0).to_numpy()
+        signed = np.flatnonzero(cut)
+        tails = [w[-c:] for w, c in zip(words.take(pa.array(signed)).to_numpy(zero_copy_only=False), cut[signed].tolist())]
+        kinds = sorted(set(tails))
+        coded = dict(zip(kinds, self._encode(kinds)))
+        held = [found[u] for u in units.indices.to_numpy().tolist()]
+        for at, tail in zip(signed.tolist(), tails):
+            held[at] += coded[tail]
+        return held
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        fresh = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-            fresh = distinct
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, np.uint32).tobytes()
-        held = [self.known[w] for w in distinct]
-        length = np.array([len(h) // 4 for h in held], np.int64)
+        held = self._word_ids(coded.dictionary)
+        length = np.array([len(h) for h in held], np.int64) // 4
         every = np.frombuffer(b"".join(held), np.uint32)
         first = np.cumsum(length) - length
         which = coded.indices.to_numpy()
@@ -97,7 +150,9 @@ class Tokens:
 
 def frequencies(ids: np.ndarray, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their frequencies, which sum to ``2 ** scale`` and are at least one."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     if not len(ids):
         return symbols.astype(np.uint32), counts.astype(np.uint32)
     spare = (1 << scale) - len(symbols)
@@ -175,7 +230,9 @@ def decode_block(
 def pack(ids: np.ndarray, docs: Sequence[int | None], lengths: np.ndarray, scale: int = SCALE, block: int = BLOCK) -> bytes:
     """A segment file."""
     symbols, freq = frequencies(ids, scale)
-    rank = np.searchsorted(symbols, ids)
+    place = np.zeros(int(symbols.max(initial=0)) + 1, np.uint32)
+    place[symbols] = np.arange(len(symbols))
+    rank = place[ids]
     blocks = [encode_block(rank[a : a + block], freq, scale) for a in range(0, len(rank), block)]
     known = np.array([d is not None for d in docs], np.uint8)
     names = np.array([d or 0 for d in docs], np.int64)
@@ -200,7 +257,7 @@ class Segment:
         raw = zlib.decompress(data[at : at + table])
         self.symbols = np.frombuffer(raw, np.uint32, entries)
         self.freq = np.frombuffer(raw, np.uint32, entries, 4 * entries)
-        self.slots = np.repeat(np.arange(entries), self.freq)
+        self.slots = np.repeat(np.arange(entries, dtype=np.uint16 if entries <= 1 << 16 else np.uint32), self.freq)
         raw = zlib.decompress(data[at + table : at + table + index])
         known = np.frombuffer(raw, np.uint8, docs)
         names = np.frombuffer(raw, np.int64, docs, docs).tolist()
@@ -235,7 +292,7 @@ def _writer(folder: str, tokens: Callable[[], Tokens], end: int, segment: int):
             )
 
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", 1 << 22):
                 ids, counts = encode(batch.column("text"))
                 # The end id of each text.
                 ids = np.insert(ids, np.cumsum(counts), end)
