@@ -36,9 +36,7 @@ PASSES = 4
 THRESHOLD = 0.3
 #: Word offsets of the features: pairs, triples, and skip-grams over one or two words.
 GAPS = ((1,), (1, 2), (2,), (3,))
-ALPHA, BETA, L2 = 1.0, 1.0, 1.0
-#: L1 strength at ``TRAIN_ROWS`` rows; fewer rows get less in proportion, 1 at least.
-L1 = 10.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 
 
 @dataclass(frozen=True)
@@ -84,24 +82,23 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = lists.offsets.to_numpy()
         values = lists.values.to_numpy()
         rows += [(np.append(values[a:b], size), y) for a, b, y in zip(offsets, offsets[1:], labels)]
-    l1 = max(1.0, L1 * min(1.0, len(rows) / TRAIN_ROWS))
     for _ in range(PASSES):
         for at, y in rows:
-            w = _weights(z[at], n[at], l1)
+            w = _weights(z[at], n[at])
             w[-1] = _weights(z[size], n[size], 0.0)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             root = np.sqrt(n[at])
             n[at] += g * g
             z[at] += g - (np.sqrt(n[at]) - root) / ALPHA * w
     if rows:
-        w = _weights(z, n, l1)
+        w = _weights(z, n)
         kept = np.flatnonzero(w[:-1])
         at = np.append(kept, size)
         w[-1] = _weights(z[size], n[size], 0.0)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], ["at", "weight"])
 
 
-def _weights(z, n, l1: float):
+def _weights(z, n, l1: float = L1):
     return np.where(
         np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
     )
