@@ -22,6 +22,7 @@ from pairbench.constants import (
 from pairbench.functions import text as X
 from pairbench.operators import tables
 from pairbench.operators.sampling import BROADCAST_ROWS
+from pairbench.sources.files import stage
 
 
 def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -95,17 +96,18 @@ def earliest_notes(headers: DataFrame) -> DataFrame:
     return headers.withColumn("__rank", F.rank().over(by_date)).filter("__rank = 1").drop("__rank")
 
 
-def first_clean_notes_by_header(headers: DataFrame, note_text: DataFrame, rows: int | None = None) -> DataFrame:
+def first_clean_notes_by_header(headers: DataFrame, note_text: DataFrame) -> DataFrame:
     """One cleaned note per visit, from note headers and the table of texts.
 
     The date alone rules out most notes of a visit, so it is compared before any
     text is fetched; lengths decide among those that are left. Only texts of
-    visits with several candidates shuffle again, by visit. ``rows`` is the number
-    of headers, if it is known.
+    visits with several candidates shuffle again, by visit. The candidates' headers
+    are staged, so that they are found once and their number is known.
     """
     visit = Window.partitionBy("visit_occurrence_id")
-    candidates = earliest_notes(with_visit(headers)).withColumn("__several", F.count(F.lit(1)).over(visit) > 1)
-    measured = measure_notes(attach_text(candidates, note_text, rows))
+    several = F.count(F.lit(1)).over(visit) > 1
+    candidates = stage(earliest_notes(with_visit(headers)).withColumn("__several", several))
+    measured = measure_notes(attach_text(candidates, note_text, candidates.count()))
     alone = measured.filter("NOT __several")
     chosen = first_note_per_visit(measured.filter("__several"))
     return clean_notes(alone.unionByName(chosen).drop("__several"))

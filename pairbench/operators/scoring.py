@@ -6,6 +6,7 @@ import sys
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -74,13 +75,13 @@ def scoring_task(
         def started(pool, rows):
             if wait is not None:
                 wait()
-            return pool.submit(call, rows)
+            return pool.submit(call, rows).result if calls_at_once > 1 else partial(list, call(rows))
 
         for batch in batches:
             rows = batch.to_dict("records")
             with ThreadPoolExecutor(calls_at_once) as pool:
                 calls = [started(pool, rows[i : i + size]) for i in range(0, len(rows), size)]
-                responses = [r for c in calls for r in c.result()]
+                responses = [r for result in calls for r in result()]
             yield batch.assign(response_json=pd.Series(responses, index=batch.index, dtype=object))[columns]
 
     return run

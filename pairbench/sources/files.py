@@ -157,7 +157,18 @@ def stages() -> Iterator[_Stages]:
         scope._remove(scope.paths)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever file system it is."""
+def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever file system."""
+    place, system = _place(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, in whatever file system."""
+    place, system = _place(spark, path)
+    system.delete(place, True)

@@ -85,3 +85,26 @@ class _Cluster:
 def test_no_local_folder_on_a_cluster():
     with pytest.raises(ValueError):
         session.shared_dir(_Cluster)
+
+
+def test_csv_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "long text\n" * 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, t string").coalesce(1)
+    files.write_csv(df, str(tmp_path / "c"), max_bytes_per_file=20_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "c").glob("*.csv")]
+    assert len(sizes) > 5 and max(sizes) <= 20_000 + 100
+    back = files.read_csv(spark, str(tmp_path / "c"), df.schema)
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_stages_are_removed_unless_kept(spark):
+    with files.stages() as made:
+        first = files.stage(spark.range(3))
+        second = files.stage(first)
+        made.keep()
+        third = files.stage(second)
+        paths = [df.inputFiles()[0] for df in (second, third)]
+        with pytest.raises(Exception, match="(?i)exist"):
+            first.count()
+    assert second.count() == 3
+    assert files.exists(spark, paths[0]) and not files.exists(spark, paths[1])

@@ -209,3 +209,22 @@ def test_cohort_with_a_hot_visit(spark):
     assert sorted(by_header.collect(), key=repr) == sorted(prepared.collect(), key=repr)
     funnel = jobs.cohort_funnel(visits, durations, metadata).orderBy("step").collect()
     assert [r.n_rows for r in funnel][0] == 2 * n and [r.n_rows for r in funnel][-1] == len(want)
+
+
+def test_draw_above_the_broadcast_limit(spark):
+    def number(*parts):
+        return int(hashlib.md5("-".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+    n = 10_000
+    members = {}
+    for r in _refined(spark).collect():
+        members.setdefault(r.acuitylevel, []).append(r.visit_occurrence_id)
+    for found in members.values():
+        found.sort(key=lambda v: (number(5, v), v))
+    drawn = pairing.balanced_pairs(_refined(spark), n, seed=5).drop("history_text_A", "history_text_B").collect()
+    assert Counter(r.pair_class for r in drawn) == {i: n for i in range(10)}
+    for r in drawn[::97]:
+        for side in "AB":
+            options = members[r[f"acuitylevel_{side}"]]
+            pick = number(r[f"seed_{side}"], r.pair_class, side, r.slot) % len(options)
+            assert r[f"visit_occurrence_id_{side}"] == options[pick]

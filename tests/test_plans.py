@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pairbench.operators import metrics, pairing, sampling, tables
+from pairbench.operators import metrics, notes, pairing, sampling, scoring, tables
 from pairbench.plans import jobs
 from pairbench.sources import testbed
 
@@ -79,11 +79,43 @@ def test_texts_are_never_broadcast(spark):
     cohort = jobs.cohort_notes(**domain)
     texts = domain.pop("note_text")
     by_header = jobs.prepare_from_headers(jobs.cohort_headers(**domain), texts)
-    for df in (cohort, by_header):
+    text = plan(cohort)
+    # The one join that meets the texts is a merge join, and it is the last.
+    assert text.index("SortMergeJoin [deid_note_key") < text.index("BroadcastHashJoin")
+    assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:", text)) == 1
+    by_header.collect()
+    text = plan(by_header).split("Initial Plan")[0]
+    # Visits with one candidate and with several share the scan and the shuffle of texts,
+    # below which the wanted keys pick them.
+    assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:", text)) == 1 and "ReusedExchange" in text
+    below = text[text.index("Exchange hashpartitioning(__right_key"):]
+    assert "LeftSemi" in below[: below.index("FileScan")]
+
+
+def test_headers_are_read_once(spark, no_broadcast):
+    domain = testbed.domain(spark, FOLDER)
+    domain.pop("note_text")
+    text = plan(notes.earliest_notes(notes.with_visit(jobs.cohort_headers(**domain))))
+    assert text.count("o_orderkey:") == 1 and text.count("doc_id:") == 1
+
+
+def test_profiles_of_headers_read_no_texts(spark):
+    for name in ("cohort_stats", "duplicate_profile"):
+        text = plan(entry.queries()[name](spark, FOLDER))
+        assert not re.search(r"ReadSchema: struct<[^>]*\btext:", text) and "[deid_note_key" not in text
+
+
+def test_prompts_are_shuffled_once(spark):
+    pairs = spark.createDataFrame([("a", "p", 1)], "visit_occurrence_id_combined string, prompt string, x int")
+    for df in (
+        scoring.score_pairs(pairs, lambda row: "0", ("x",), 6),
+        scoring.score_pairs(pairs, lambda row: "0", ("x",), 6, last_by=F.col("x")),
+    ):
         text = plan(df)
-        # The one join that meets the texts is a merge join, and it is the last.
-        assert text.index("SortMergeJoin [deid_note_key") < text.index("BroadcastHashJoin")
-        assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:", text)) == 1
+        assert text[text.index("MapInPandas"):].count("Exchange") == 1 and "hashpartitioning" in text
+    responses = spark.createDataFrame([("a", "p", "r")], "visit_occurrence_id_combined string, prompt string, response_json string")
+    keys = re.findall(r"Join \[([^\]]*)\]", plan(scoring.attach_responses(pairs, responses)))
+    assert keys and all("prompt#" not in k.replace("__prompt#", "") for k in keys)
 
 
 def test_first_note_is_limited_before_the_shuffle(cohort):

@@ -103,3 +103,11 @@ def test_funnel_against_brute_force(spark):
     assert sorted(rows(profile.attrition_funnel(df, steps))) == want
     none = profile.attrition_funnel(df.filter("age > 99"), steps)
     assert [r[2:] for r in sorted(rows(none))] == [(0, 0)] * 3
+
+
+def test_histogram_keeps_values_beyond_int(spark):
+    df = spark.createDataFrame([(1.5,), (5e9,), (-6e9,), (None,), (float("nan"),), (1e300,)], "x double")
+    got = profile.histogram(df.filter("x IS NULL OR x < 1e200 OR isnan(x)"), "x").collect()
+    assert sum(r["count"] for r in got) == 3
+    assert (min(r.bin_start for r in got), max(r.bin_end for r in got)) == (-6e9, 5e9)
+    assert sum(r["count"] for r in profile.histogram(df, "x").collect()) == 4

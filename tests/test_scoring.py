@@ -145,3 +145,27 @@ def test_quota_is_shared_by_the_tasks():
 def test_quota_runs_on_spark(spark):
     got = scoring.score_pairs(_pairs(spark, 4), lambda row: "x", partitions=2, calls_per_minute=60000).collect()
     assert [r.response_json for r in got] == ["x"] * 4
+
+
+def test_calls_by_lists_and_several_at_a_time(spark):
+    def scorer(rows):
+        if any(r["prompt"].endswith("7") for r in rows):
+            raise RuntimeError("no")
+        return ["ok " + r["prompt"] for r in rows]
+
+    frame = pd.DataFrame({"visit_occurrence_id_combined": list("abcdef"), "prompt": [f"p{i}" for i in (1, 2, 3, 7, 5, 6)]})
+    starts = []
+    task = scoring.scoring_task(scorer, 1.0, pacer=lambda s: lambda: starts.append(s), rows_per_call=2, calls_at_once=3)
+    found = list(next(task(iter([frame])))["response_json"])
+    assert found == ["ok p1", "ok p2", CALL_FAILED, CALL_FAILED, "ok p5", "ok p6"] and len(starts) == 3
+    short = scoring.scoring_task(lambda rows: ["one"], rows_per_call=3)
+    assert list(next(short(iter([frame])))["response_json"]) == [CALL_FAILED] * 6
+
+
+def test_only_the_last_prompt_of_an_id(spark):
+    rows = [("a", "first", 0, 1_500_000), ("a", "last", 1, 0), ("b", "only", 0, 3)]
+    pairs = spark.createDataFrame(rows, "visit_occurrence_id_combined string, prompt string, pair_class int, slot long")
+    order = F.struct("pair_class", "slot")
+    assert {tuple(r) for r in scoring.prompts_by_id(pairs, order).collect()} == {("a", "last"), ("b", "only")}
+    scored = scoring.score_pairs(pairs, lambda row: row["prompt"].upper(), partitions=2, last_by=order)
+    assert {(r.visit_occurrence_id_combined, r.response_json) for r in scored.collect()} == {("a", "LAST"), ("b", "ONLY")}
