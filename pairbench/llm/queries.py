@@ -74,7 +74,35 @@ def op8_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.interleave(docs, mixing.proportions(docs)).drop("order")
 
 
-@query("op9_ngram_jaccard_join")
+@query(
+    "op9_ngram_jaccard_join",
+    """
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 3
+            THEN list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))
+            WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
+        FROM w
+    ), n AS (
+        SELECT doc_id, count(shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id
+    ), common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+        FROM s AS a JOIN s AS b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+    ), links AS (
+        SELECT a, b FROM common JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+        WHERE 100 * c >= 90 * (x.n + y.n - c)
+    ), reach AS (
+        SELECT doc_id, doc_id AS other FROM n
+        UNION
+        SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+    )
+    SELECT doc_id, n AS n_shingles, min(other) AS component_id FROM reach JOIN n USING (doc_id) GROUP BY ALL
+    """,
+)
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, folder, "documents"), words=3, percent=90)
 
