@@ -35,11 +35,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     prepare(spark)
     found = ngram_join.similar_components(docs, words=5, percent=80)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    repeated = stage(whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
-    several = whole.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    single = whole.join(repeated, "doc_id", "left_anti")
-    return single.unionByName(several).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
