@@ -37,6 +37,14 @@ def stage(df: DataFrame) -> DataFrame:
     return files.stage(df)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Short rows that stand for much work, over as many tasks as a shuffle has.
+
+    Without a number, adaptive execution would merge them by their size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with nulls as empty texts."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pairbench.llm import store
-from pairbench.llm.common import slices, stage, text_of
+from pairbench.llm.common import dealt, slices, stage, text_of
 from pairbench.session import shared_dir
 
 END = 2
@@ -356,5 +356,5 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32), decoded from the files of a manifest, one task or more each."""
-    files = manifest.select("path", "start").repartition("path")
+    files = dealt(manifest.select("path", "start"), "path")
     return files.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")

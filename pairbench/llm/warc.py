@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairbench.llm import store
-from pairbench.llm.common import stage, text_of
+from pairbench.llm.common import dealt, stage, text_of
 from pairbench.session import shared_dir
 
 ARCHIVE_BYTES = 64 << 20
@@ -225,6 +225,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to), one per record of the archives."""
-    return manifest.select("path").repartition("path").mapInArrow(
+    return dealt(manifest.select("path"), "path").mapInArrow(
         _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
