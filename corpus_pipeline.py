@@ -6,7 +6,8 @@ Every stage but the last returns the columns of ``documents``:
 2. ``ngram_jaccard_join``: of each component of near duplicates (five words,
    similarity of 0.8 or more) the row with the smallest id stays; of several rows
    with that id, one. Rows without an id stay: no link can name them.
-3. ``benchmark_decontamination``: rows in which an item is found go.
+3. ``benchmark_decontamination``: rows in which an item is found go; rows without an
+   id stay, as no match can name them.
 4. ``mixing``: all rows stay; they are put, and written, in the order of the mix.
 5. ``token_id_output``: token files in that order, read back: one row per document
    with the ids before it, its number of ids and their checksum.
