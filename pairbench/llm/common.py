@@ -22,9 +22,11 @@ _MASK = (1 << 64) - 1
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Adaptive execution, and Arrow batches that bound a worker's memory."""
+    """Adaptive execution, Arrow batches that bound a worker's memory, and no shuffle files of ended queries."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # Operators hand over in stage tables, so a query's shuffle files may go when it ends.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return tune(spark)
 
 
