@@ -1,18 +1,17 @@
-"""Benchmark decontamination: CGK embeddings, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: error-bounded pieces find candidates, exact edit verification decides.
 
 Texts are normalised (ASCII letters in lower case, white space runs as one
-space). Windows open at anchor words, in items and in documents alike, and have
-the size of the item's part from that word on. A window is read by the CGK
-random walk: at step j the symbol under the pointer is written out, and a random
-bit of (j, symbol) says whether the pointer moves on. Walks of texts that differ
-by few edits meet again after each edit, so edit distance becomes Hamming
-distance. ``tables`` draws of ``SAMPLES`` steps each are the LSH keys. Two
-windows that agree in a share ``AGREE`` of their steps share a key with
-probability 1 - (1 - AGREE ** SAMPLES) ** tables, and the number of tables is the
-least that reaches ``RECALL``; an item has many anchors, so it gets several
-chances. A shared key whose walks agree in fewer than ``LEAST`` of all steps is
-chance. Any other lines the item up with the document, and the exact edit
-distance of the whole item to the best substring there decides.
+space). An item with k allowed edits is cut into k // 2 + 1 pieces of about equal
+size, words or not. Wherever a text holds the item within k edits, one piece has
+at most one edit there (were there two in each, they would be more than k). A
+piece of ``width`` + 1 bytes with at most one edit shares ``width`` of them with
+the text: in a run, or with one byte of the text skipped, so ``width`` looks at
+each place of a text find all of them. The same count holds for groups of pieces:
+of all groups that are within twice their pieces less one edits, some hold a piece
+with at most one, so a candidate goes on only while the groups of ``GROUPS`` pieces
+around it are that close. Neither step can lose an item, whatever its length,
+script or edits. The exact edit distance of the whole item to the best substring
+of the places that are left decides.
 
 The documents are read once, without a shuffle. Items go to all tasks in blocks
 of bounded size (``BLOCK_BYTES`` of text); a larger benchmark means more passes,
@@ -36,57 +35,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbench.llm.common import Words, code_points, mix, powers, slices, text_bytes, text_of
+from pairbench.llm.common import _LOW_BYTES, Words, code_points, slices, text_of
 
 #: Edits allowed, in percent of the item's bytes: similarity of 0.8 or more.
 EDITS = 20
-RECALL, AGREE, SAMPLES = 0.95, 0.6, 5
-#: Steps of the walk that samples come from; the pointer moves at every other, so about 64 bytes.
-STEPS = 128
-#: Steps from here on are sampled and compared: those before read the anchor, which is equal anyway.
-SKIP = 16
-LEAST = 0.5
-#: Anchors are words of at least so many bytes, or any word in items with few such.
-ANCHOR_BYTES, FEW = 6, 4
+#: Bytes of a piece that are looked up.
+WIDTH = 8
+#: Pieces in the groups that must be close around a candidate.
+GROUPS = (2, 4)
 BLOCK_BYTES = 4 << 20
-SEED = 5
+#: Places of a text, and candidates, that are worked on at once.
+PLACES, STEP, CANDIDATES = 1 << 18, 1 << 15, 1 << 16
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tables(recall: float = RECALL, agree: float = AGREE, samples: int = SAMPLES) -> int:
-    """The least number of repetitions that reaches the target recall."""
+def tables(recall: float, agree: float, samples: int) -> int:
+    """The least number of repetitions of bit sampling that reaches a recall; the search itself needs none."""
     return math.ceil(math.log(1 - recall) / math.log(1 - agree**samples))
 
 
-class Walk:
-    """The random bits and the sampled steps, the same everywhere."""
-
-    def __init__(self, steps: int = STEPS, count: int | None = None):
-        random = np.random.default_rng(SEED)
-        self.moves = random.integers(0, 2, (steps, 256), dtype=np.int32)
-        self.moves[:, 0] = 0  # a text's end is never passed
-        count = count or tables()
-        self.draws = np.array([SKIP + random.choice(steps - SKIP, SAMPLES, replace=False) for _ in range(count)])
-        self.uses = [[] for _ in range(steps)]
-        for table, draw in enumerate(self.draws):
-            for place, step in enumerate(draw):
-                self.uses[step].append((table, np.uint64(257 ** (place + 1))))
-
-    def read(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What walks from ``starts`` read (windows x steps), and their LSH keys (tables x windows).
-
-        A zero byte ends a text.
-        """
-        trace = np.zeros((len(self.moves), len(starts)), np.uint8)
-        at = starts.astype(np.int64)
-        found = np.zeros((len(self.draws), len(starts)), np.uint64)
-        for step, moves in enumerate(self.moves):
-            symbol = trace[step] = data[at]
-            for table, weight in self.uses[step]:
-                found[table] += (symbol.astype(np.uint64) + np.uint64(1)) * weight
-            at += moves[symbol]
-        return trace[SKIP:].T.copy(), mix(found + powers(2)[1] * np.arange(len(self.draws), dtype=np.uint64)[:, None])
-
-
 class Normal:
     """Normalised texts of an array, one after another, each ended by a zero byte."""
 
@@ -114,43 +81,98 @@ class Normal:
 
 
 @dataclass
-class Index:
-    """Windows of a block of items, by LSH key and by anchor word.
+class Look:
+    """Item pieces by the ``width`` bytes that a text shares with them when its byte number ``skip`` is left out.
 
-    Key number k belongs to ``windows[first[k]:first[k + 1]]``.
+    Key number k belongs to ``pieces[first[k]:first[k + 1]]`` of the index.
     """
 
-    ids: list
-    texts: list[bytes]
-    anchors: np.ndarray
+    width: int
+    skip: int
     keys: np.ndarray
     first: np.ndarray
-    windows: np.ndarray
+
+
+@dataclass
+class Index:
+    """A block of items and their pieces: item, place in it, and the groups around (place in ``data``, size, edits)."""
+
+    ids: list
+    texts: list[bytes]
+    data: np.ndarray
+    begin: np.ndarray
     item: np.ndarray
     offset: np.ndarray
-    trace: np.ndarray
+    groups: list[np.ndarray]
+    looks: list[Look]
+    pieces: np.ndarray
+    #: Items of so many allowed edits that no piece of two bytes is left: tried on every text.
+    loose: list[int]
+    pad: int
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, as a number; the last eight places are left out."""
+    data = np.ascontiguousarray(data)
+    return np.ndarray((max(len(data) - 8, 0),), "<u8", data, 0, (1,)).copy()
+
+
+def _keys(words: np.ndarray, width: int, skip: int, at=None) -> np.ndarray:
+    """``width`` bytes from each place on, without the byte number ``skip`` of ``width + 1``."""
+    here, there = (words[:-1], words[1:]) if at is None else (words[at], words[at + 1])
+    low, all_ = _LOW_BYTES[skip], _LOW_BYTES[width]
+    return here & all_ if skip == width else (here & low) | (there & (low ^ all_))
 
 
-def index(ids: list, texts: list[str], walk: Walk) -> Index:
+def index(ids: list, texts: list[str], percent: int = EDITS) -> Index:
     normal = Normal(pa.array(texts, pa.string()))
-    words = normal.words
-    size = words.end - words.start
-    chosen = []
-    bounds = np.searchsorted(words.text, np.arange(words.texts + 1))
-    for item, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        # Windows open in the first two thirds, where enough of the item is left.
-        reach = normal.bounds[item] + (normal.bounds[item + 1] - normal.bounds[item]) * 2 // 3
-        early = [w for w in range(a, b) if normal.begin[w] <= reach]
-        long = [w for w in early if size[w] >= ANCHOR_BYTES]
-        chosen += [(item, w) for w in (long if len(long) >= FEW else early)]
-    at = np.array([w for _, w in chosen], np.int64)
-    item = np.array([i for i, _ in chosen], np.int64)
-    trace, keys = walk.read(normal.data, normal.begin[at])
-    order = np.argsort(keys.ravel(), kind="stable")
-    distinct, first = np.unique(keys.ravel()[order], return_index=True)
+    plain = [normal.text(i) for i in range(len(ids))]
+    rows, loose = [], []
+    for item, text in enumerate(plain):
+        size, begin = len(text), int(normal.bounds[item])
+        edits = size * percent // 100
+        count = edits // 2 + 1
+        width = min(size // count - (edits > 0), WIDTH)
+        if not size:
+            continue
+        if width < 1:
+            loose.append(item)
+            continue
+        cuts = [i * size // count for i in range(count + 1)]
+        for i in range(count):
+            row = [item, cuts[i], width, edits > 0]
+            for group in GROUPS:
+                a = i // group * group
+                b = min(a + group, count)
+                row += [begin + cuts[a], cuts[b] - cuts[a], min(2 * (b - a) - 1, edits)]
+            rows.append(row)
+    table = np.array(rows, np.int64).reshape(len(rows), 4 + 3 * len(GROUPS))
+    item, offset, width, edited = table[:, :4].T
+    begin = normal.bounds[item] + offset
+    words = _words(np.concatenate([normal.data, np.zeros(WIDTH + 16, np.uint8)]))
+    looks, pieces = [], [np.empty(0, np.int64)]
+    known = 0
+    for size in np.unique(width).tolist():
+        own, some = np.flatnonzero(width == size), np.flatnonzero((width == size) & (edited > 0))
+        last = _keys(words, size, size, begin[own])
+        for skip in range(1, size + 1):
+            # In a run: without any one byte of the piece. With a byte skipped: it is another one, or one too many.
+            parts = [(last, own)] if skip == size else [(_keys(words, size, size, begin[some]), some)]
+            lost = range(size) if skip == size else [skip]
+            parts += [(_keys(words, size, i, begin[some]), some) for i in lost]
+            pairs = np.zeros(sum(len(k) for k, _ in parts), [("key", "<u8"), ("piece", "<i8")])
+            pairs["key"] = np.concatenate([k for k, _ in parts])
+            pairs["piece"] = np.concatenate([p for _, p in parts])
+            pairs = np.unique(pairs)
+            keys, first = np.unique(pairs["key"], return_index=True)
+            if len(keys):
+                looks.append(Look(size, skip, keys, np.append(first, len(pairs)) + known))
+                pieces.append(pairs["piece"].copy())
+                known += len(pairs)
+    groups = [table[:, 4 + 3 * g : 7 + 3 * g].copy() for g in range(len(GROUPS))]
+    pad = max([int(g[:, 1].max() + 2 * g[:, 2].max()) for g in groups if len(g)], default=0) + 2 * WIDTH
     return Index(
-        ids, [normal.text(i) for i in range(len(ids))], np.unique(words.hash[at]), distinct,
-        np.append(first, len(order)), order % len(at), item, normal.begin[at] - normal.bounds[item], trace,
+        ids, plain, normal.data, begin, item.copy(), offset.copy(), groups, looks, np.concatenate(pieces), loose, pad
     )
 
 
@@ -185,21 +207,22 @@ def best_match(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def _filter_bits(values: np.ndarray, bits: int) -> np.ndarray:
-    table = np.zeros(1 << bits, bool)
-    table[(values >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return table
+def _filter_bits(keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """A table of the leading bits of scrambled keys, and how far to shift for them."""
+    bits = min(max(16, int(len(keys)).bit_length() + 5), 25)
+    table, shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+    table[(keys * _ODD) >> shift] = True
+    return table, shift
 
 
 def _find(block: Index, percent: int):
     """Rows (doc_id, item_id, edits, start, finish) for the items of a block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = Walk()
-        words_seen, keys_seen = _filter_bits(block.anchors, 20), _filter_bits(block.keys, 22)
+        filters = [_filter_bits(look.keys) for look in block.looks]
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = _matches(batch.column("text"), block, walk, words_seen, keys_seen, percent)
+                found = _matches(batch.column("text"), block, filters, percent)
                 ids = batch.column("id").to_pylist()
                 names = ["doc_id", "item_id", "edits", "start", "finish"]
                 values = [(ids[d], block.ids[i], *rest) for (d, i), rest in sorted(found.items())]
@@ -210,56 +233,113 @@ def _find(block: Index, percent: int):
     return rows
 
 
-def _matches(texts, block, walk, words_seen, keys_seen, percent) -> dict:
+def _candidates(data: np.ndarray, size: int, block: Index, filters: list) -> Iterator[tuple]:
+    """Arrays (place in the texts, first, length): pieces that may stand there with at most one edit."""
+    for start in range(0, size, PLACES):
+        found = []
+        # One word more than places.
+        words = _words(data[block.pad + start : block.pad + min(start + PLACES, size) + 9])
+        for look, (seen, shift) in zip(block.looks, filters):
+            for at in range(0, len(words) - 1, STEP):
+                keys = _keys(words[at : at + STEP + 1], look.width, look.skip)
+                place = np.flatnonzero(seen[((keys * _ODD) >> shift).view(np.int64)])
+                key = keys[place]
+                slot = np.minimum(np.searchsorted(look.keys, key), len(look.keys) - 1)
+                hit = look.keys[slot] == key
+                slot = slot[hit]
+                found.append((place[hit] + (start + at), look.first[slot], look.first[slot + 1] - look.first[slot]))
+        if found:
+            yield tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _close(data: np.ndarray, start: np.ndarray, items: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether each group of pieces is within its edits of a stretch of the text that begins about ``start``."""
+    begin, size, edits = group.T
+    rows, band = int(size.max()), int(edits.max())
+    wide = 2 * band + 1
+    text = data[(start - band) + np.arange(rows + wide - 1)[:, None]]
+    item = items[np.minimum(begin + np.arange(rows)[:, None], len(items) - 1)]
+    # A byte that stands on none of the diagonals within reach is an edit.
+    alone = np.zeros(len(start), np.int32)
+    for row in range(rows):
+        alone += ~(text[row : row + wide] == item[row]).any(axis=0) & (size > row)
+    left = np.flatnonzero(alone <= edits)
+    text, item, size = text[:, left], item[:, left], size[left]
+    kind = np.int8 if rows + wide < 120 else np.int32
+    cost, best = np.zeros((wide, len(left)), kind), np.zeros(len(left), kind)
+    ends = set(np.unique(size).tolist())
+    one = kind(1)
+    for row in range(rows if len(left) else 0):
+        # Along a diagonal a byte is kept or exchanged; next to it one is left out or put in.
+        new = cost + (text[row : row + wide] != item[row]).view(np.int8)
+        np.minimum(new[:-1], cost[1:] + one, out=new[:-1])
+        for d in range(1, wide):
+            np.minimum(new[d], new[d - 1] + one, out=new[d])
+        cost = new
+        if row + 1 in ends:
+            here = size == row + 1
+            best[here] = cost[:, here].min(axis=0)
+    return left[best <= edits[left]]
+
+
+def _places(data: np.ndarray, size: int, block: Index, filters: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays (place in the texts, piece) of candidates whose groups are close."""
+    for place, first, length in _candidates(data, size, block, filters):
+        total = np.cumsum(length)
+        a = 0
+        while a < len(place):
+            before = total[a - 1] if a else 0
+            b = max(int(np.searchsorted(total, before + CANDIDATES, side="right")), a + 1)
+            many = length[a:b]
+            inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            piece, at = block.pieces[np.repeat(first[a:b], many) + inner], np.repeat(place[a:b], many)
+            a = b
+            for group in block.groups:
+                if len(at):
+                    own = group[piece]
+                    near = _close(data, block.pad + at - (block.begin[piece] - own[:, 0]), block.data, own)
+                    at, piece = at[near], piece[near]
+            if len(at):
+                yield at, piece
+
+
+def _matches(texts, block, filters, percent) -> dict:
     normal = Normal(texts)
-    words = normal.words
-    rough = np.flatnonzero(words_seen[(words.hash >> np.uint64(44)).astype(np.int64)])
-    at = rough[block.anchors[np.minimum(np.searchsorted(block.anchors, words.hash[rough]), len(block.anchors) - 1)]
-               == words.hash[rough]]
-    if not len(at):
-        return {}
-    begin = normal.begin[at]
-    trace, keys = walk.read(normal.data, begin)
-    table, column = np.nonzero(keys_seen[(keys >> np.uint64(42)).astype(np.int64)])
-    key = keys[table, column]
-    slot = np.minimum(np.searchsorted(block.keys, key), len(block.keys) - 1)
-    hit = block.keys[slot] == key
-    slot, column = slot[hit], column[hit]
-    length = block.first[slot + 1] - block.first[slot]
-    place = np.repeat(block.first[slot] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    column, window = np.repeat(column, length), block.windows[place]
-    for every, least in ((4, LEAST - 0.2), (1, LEAST)):  # a look at some steps spares most looks at all
-        near = _agree(trace[:, ::every].copy(), block.trace[:, ::every].copy(), column, window) >= least
-        column, window = column[near], window[near]
-    tries = set(zip(
-        words.text[at[column]].tolist(), block.item[window].tolist(), (begin[column] - block.offset[window]).tolist()
-    ))
-    found, done = {}, {}
-    for text, item, start in sorted(tries):
+    words, size = normal.words, len(normal.data)
+    data = np.zeros(size + 2 * block.pad + 16, np.uint8)
+    data[block.pad : block.pad + size] = normal.data
+    tries = {(text, item, 0, None) for item in block.loose for text in range(len(texts))}
+    for at, piece in _places(data, size, block, filters):
+        text = np.searchsorted(normal.bounds, at, side="right") - 1
+        item = block.item[piece]
+        tries.update(zip(text.tolist(), item.tolist(), (at - block.offset[piece]).tolist(), [True] * len(at)))
+    spans = defaultdict(list)
+    for text, item, start, placed in sorted(tries, key=lambda t: t[:3]):
         pattern = block.texts[item]
-        allowed = len(pattern) * percent // 100
-        first, end = normal.bounds[text], normal.bounds[text + 1]
-        low, high = max(first, start - allowed), min(end - 1, start + len(pattern) + allowed)
-        # What has been looked at for this item need not be looked at again.
-        if done.get((text, item), -1) >= high:
+        # A piece's own edit may move it by one.
+        allowed = len(pattern) * percent // 100 + 1
+        if not 0 <= text < len(texts):
             continue
-        edits, stop = best_match(pattern, normal.data[low:high].tobytes())
-        if edits <= allowed:
-            done[text, item] = high
-            back, length = best_match(pattern[::-1], normal.data[low : low + stop][::-1].tobytes())
-            begins, ends = low + stop - length, low + stop
-            rank = (edits, *_span(words, normal, text, texts[text], begins, ends))
-            found[text, item] = min(found.get((text, item), rank), rank)
+        first, end = int(normal.bounds[text]), int(normal.bounds[text + 1]) - 1
+        low, high = (max(first, start - allowed), min(end, start + len(pattern) + allowed)) if placed else (first, end)
+        known = spans[text, item]
+        if known and low <= known[-1][1]:
+            known[-1][1] = max(known[-1][1], high)
+        else:
+            known.append([low, high])
+    found = {}
+    for (text, item), known in spans.items():
+        pattern = block.texts[item]
+        for low, high in known:
+            edits, stop = best_match(pattern, normal.data[low:high].tobytes())
+            if edits <= len(pattern) * percent // 100:
+                back, length = best_match(pattern[::-1], normal.data[low : low + stop][::-1].tobytes())
+                begins, ends = low + stop - length, low + stop
+                rank = (edits, *_span(words, normal, text, texts[text], begins, ends))
+                found[text, item] = min(found.get((text, item), rank), rank)
     return found
 
 
-def _agree(trace: np.ndarray, items: np.ndarray, column: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Share of steps at which walks agree, without those past an item's end."""
-    real = items != 0
-    same = ((trace[column] == items[window]) & real[window]).sum(axis=1, dtype=np.int16)
-    return same / np.maximum(real.sum(axis=1), 1)[window]
-
-
 def _span(words, normal, text: int, value, begins: int, ends: int) -> tuple[int, int]:
     """Code points of the original text for a span of the normalised one."""
     data = value.as_py().encode()
@@ -286,7 +366,7 @@ def contaminated(
     for number in range(blocks):
         held = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).distinct().collect()
         if held:
-            block = index([r["item"] for r in held], [r["text"] for r in held], Walk())
+            block = index([r["item"] for r in held], [r["text"] for r in held], percent)
             found = found.unionAll(source.mapInArrow(_find(block, percent), schema))
     best = F.min(F.struct("edits", "start", "finish")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

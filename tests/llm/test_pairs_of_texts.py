@@ -210,6 +210,25 @@ def test_planted_items_are_found(spark, docs, rate, recall):
     assert not [d for d, _ in pairs if d < 1000]
 
 
+def found_pairs(spark, docs, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contaminated(docs(list(enumerate(texts))), bench).collect()
+    return {(r.doc_id, r.item_id): r.edits for r in found}
+
+
+def prose(rng, size):
+    return " ".join("".join(rng.choice("etaoinshrdlu  ") for _ in range(size)).split())
+
+
+def test_short_items_inside_a_text_are_found(spark, docs):
+    rng = random.Random(11)
+    for size in (3, 7, 12, 20, 30, 35, 40, 50):
+        items = [(prose(rng, 2 * size).replace(" ", "") + "x" * size)[:size] for _ in range(30)]
+        texts = [f"{prose(rng, 150)} {item} {prose(rng, 400)}" for item in items]
+        found = found_pairs(spark, docs, items, texts)
+        assert all(found.get((n, n)) == 0 for n in range(30))
+
+
 def test_contaminated_edges(spark, docs):
     item = "what is the capital city of the country where these words were written"
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (None, item)], "item_id long, text string")
