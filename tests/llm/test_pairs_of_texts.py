@@ -229,6 +229,23 @@ def test_short_items_inside_a_text_are_found(spark, docs):
         assert all(found.get((n, n)) == 0 for n in range(30))
 
 
+@pytest.mark.parametrize("size", [25, 60, 150])
+def test_every_item_within_the_allowed_edits_is_found(spark, docs, size):
+    rng = random.Random(size)
+    items = [prose(rng, size) for _ in range(40)]
+    texts = []
+    for item in items:
+        letters = list(item)
+        for _ in range(len(item) // 5):
+            at = rng.randrange(len(letters))
+            letters[at : at + 1] = rng.choice([[], ["q"], [letters[at], "z"]])
+        texts.append(f"{prose(rng, 80)} {''.join(letters)} {prose(rng, 80)}")
+    found = found_pairs(spark, docs, items, texts)
+    least = [distance(item.encode(), " ".join(text.split()).encode()) for item, text in zip(items, texts)]
+    want = {n: edits for n, edits in enumerate(least) if edits <= len(items[n]) // 5}
+    assert len(want) > 20 and {n: found[n, n] for n in range(len(items)) if (n, n) in found} == want
+
+
 def test_contaminated_edges(spark, docs):
     item = "what is the capital city of the country where these words were written"
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (None, item)], "item_id long, text string")
