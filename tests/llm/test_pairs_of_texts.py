@@ -246,6 +246,18 @@ def test_every_item_within_the_allowed_edits_is_found(spark, docs, size):
     assert len(want) > 20 and {n: found[n, n] for n in range(len(items)) if (n, n) in found} == want
 
 
+def test_items_within_running_text_are_found(spark, docs):
+    item = "\u6625\u7720\u4e0d\u89ba\u6653\u8655\u8655\u805e\u557c\u9ce5\u591c\u4f86\u98a8\u96e8\u8072\u82b1\u843d\u77e5\u591a\u5c11"
+    quoted = "quotation marks may touch either side of this sentence"
+    bench = spark.createDataFrame([(1, item), (2, quoted)], "item_id long, text string")
+    edited = item[:4] + "\u4e00" + item[5:14] + item[15:]
+    rows = [(1, f"\u8a69\u66f0{item}\u4e91\u4e91"), (2, f"\u8a69\u66f0{edited}\u4e91\u4e91"), (3, f"He said:\u00ab{quoted}\u00bb."), (4, "\u8a69\u66f0")]
+    found = decontaminate.contaminated(docs(rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 1), (3, 2)}
+    exact = next(r for r in found if r.doc_id == 1)
+    assert (exact.edits, exact.start, exact.finish) == (0, 2, 2 + len(item))
+
+
 def test_contaminated_edges(spark, docs):
     item = "what is the capital city of the country where these words were written"
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (None, item)], "item_id long, text string")
