@@ -185,6 +185,28 @@ def test_interleave(spark, docs):
     assert mixing.interleave(empty, mixing.proportions(empty)).count() == 0
 
 
+def slots_of(spark, weights, count):
+    table = spark.createDataFrame([(f"s{i:05}", float(w)) for i, w in enumerate(weights)], "source string, weight double")
+    total = sum(weights)
+    blocks = mixing.paths(table).join(table.withColumn("key", F.concat(F.lit("="), "source")), "key")
+    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("weight") / total * count).cast("int") + 2)))
+    rows = blocks.select("source", "block", mixing.slot_of("block").alias("slot")).collect()
+    return {r.slot: int(r.source[1:]) for r in rows}, len(rows)
+
+
+@pytest.mark.parametrize(
+    "weights", [[1.0], [0.5, 0.3, 0.2], [0.333] + [0.667 / 200] * 200, [1.0, 1e-4, 1e-4, 3.0], [1 / (i + 1) ** 2 for i in range(40)]]
+)
+def test_slots_follow_the_weights_themselves(spark, weights):
+    count = 5000
+    slots, blocks = slots_of(spark, weights, count)
+    assert len(slots) == blocks and set(range(count)) <= set(slots)
+    picks = np.array([slots[t] for t in range(count)])
+    for i, w in enumerate(weights):
+        off = np.cumsum(picks == i) - w / sum(weights) * np.arange(1, count + 1)
+        assert np.abs(off).max() < 2
+
+
 def test_mixing_runs_no_python(docs):
     table = docs([(1, "a", None, "s")])
     plan = mixing.interleave(table, mixing.proportions(table))._jdf.queryExecution().executedPlan().toString()
