@@ -207,6 +207,15 @@ def test_slots_follow_the_weights_themselves(spark, weights):
         assert np.abs(off).max() < 2
 
 
+def test_any_number_of_sources(docs):
+    table = docs([(i, "x" * (1 + i % 7), None, f"host{i % 1500}") for i in range(3000)])
+    placed = mixing.interleave(table, mixing.proportions(table), block_chars=4).collect()
+    assert len(placed) == 3000 and len({r.source for r in placed}) == 1500
+    by_slot = {}
+    for r in placed:
+        assert by_slot.setdefault(r.slot, r.source) == r.source
+
+
 def test_mixing_runs_no_python(docs):
     table = docs([(1, "a", None, "s")])
     plan = mixing.interleave(table, mixing.proportions(table))._jdf.queryExecution().executedPlan().toString()
