@@ -161,6 +161,15 @@ def _rows(query, scores, ids, bound, k):
         yield np.full(len(at), query), ids[at], scores[at]
 
 
+def numbered(buckets: DataFrame) -> DataFrame:
+    """Staged buckets with their number by length within each dimension; vectors stay out of the window and its shuffle."""
+    key = ["file", "row"]
+    place = buckets.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    order = Window.partitionBy("dim").orderBy(F.desc("top"), *key)
+    numbers = stage(place.select("dim", "top", *key).withColumn("bucket", F.row_number().over(order) - 1).drop("dim", "top"))
+    return place.join(F.broadcast(numbers), key).drop(*key)
+
+
 def top_products(
     vectors: DataFrame,
     every: int = 100,
@@ -176,9 +185,7 @@ def top_products(
     sorted_rows = rows.withColumn("dim", size).repartitionByRange("dim", F.desc("length"), "id")
     sorted_rows = sorted_rows.sortWithinPartitions("dim", F.desc("length"), "id")
     buckets = stage(sorted_rows.select("id", "vector").mapInArrow(_blocks(BUCKET), _BLOCK_SCHEMA))
-    buckets = stage(
-        buckets.withColumn("bucket", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("top"), F.xxhash64("ids"))) - 1)
-    )
+    buckets = numbered(buckets)
     chosen = rows.filter(F.col("id") % every == 0).dropDuplicates(["id", "vector"]).withColumn("dim", size)
     chosen = chosen.repartitionByRange("dim", "length", "id").sortWithinPartitions("dim", "length", "id")
     queries = stage(

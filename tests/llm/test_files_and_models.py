@@ -262,3 +262,13 @@ def test_quantiles_of_queries_by_sql(spark):
     want = {tuple(r) for r in connection.sql(CHECKS["op10_exact_top_k"]).fetchall()}
     got = op10_exact_top_k(spark, folder).select("query_id", "rank", "vec_id", F.col("score")).collect()
     assert {tuple(r) for r in got} == want
+
+
+def test_vectors_stay_out_of_the_numbering(spark):
+    from pairbench.llm.common import stage
+
+    rows = [(4, float(top), bytes([top]), bytes(50)) for top in range(9)] + [(5, 1.0, b"z", bytes(50))]
+    buckets = topk.numbered(stage(spark.createDataFrame(rows, topk._BLOCK_SCHEMA).repartition(3)))
+    assert {(r.dim, r.ids[0], r.bucket) for r in buckets.collect()} == {(4, t, 8 - t) for t in range(9)} | {(5, ord("z"), 0)}
+    plan = buckets._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
