@@ -189,12 +189,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             base.append([dict(zip(("start", "end", "kind"), s)) for s in spans])
             taken = [s[:2] for s in spans]
+            first = len(places)
             for m in _TOKEN.finditer(text):
                 a, b = m.span()
                 if not m[0].isdigit() and all(b <= x or a >= y for x, y in taken):
                     places.append((row, a, b))
                     tokens.append(m[0])
-            aside = sorted([*taken, *((a, b) for r, a, b in places[-64:] if r == row)])
+            aside = sorted([*taken, *((a, b) for _, a, b in places[first:])])
             false += [(row, d) for d in _decoys(text, _apart(aside), len(text))]
         score, _ = battery(tokens + [d for _, d in false])
         bins = score_bin(score)

@@ -6,6 +6,7 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 
 from pairbench.llm import pii, secrets
 
@@ -166,3 +167,15 @@ def test_digests_of_spans(docs):
         secrets.digest("base", True).alias("h"), secrets.digest("spans", False).alias("s")
     ).first()
     assert row.s == "assign:0:12" and row.h == hashlib.sha256(b"assign:0:12").hexdigest()
+
+
+def test_decoys_hold_no_candidate(monkeypatch):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("QWRTZPSDFGHJKLqwrtzpsdfghjkl0123456789") for _ in range(40)) for _ in range(150)]
+    seen = []
+    monkeypatch.setattr(secrets, "_decoys", lambda text, spans, seed: seen.append((text, spans)) or [])
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([" ".join(keys), "plain words"])], ["doc_id", "text"])
+    found = next(secrets._scan(iter([batch]))).column("candidates").to_pylist()[0]
+    text, spans = seen[0]
+    assert len(found) > 64 and all(any(a <= c["start"] and c["end"] <= b for a, b in spans) for c in found)
+    assert seen[1][1] == []
