@@ -99,14 +99,20 @@ def powers(count: int, base: int = _BASE) -> np.ndarray:
     return np.cumprod(steps, dtype=np.uint64)
 
 
+#: Bytes that end a piece of text, within which phrases lie.
+PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
+
+
 def _inside(kind: str) -> bytes:
-    """Which bytes belong to words: all but white space, or letters, digits and non-ASCII bytes."""
+    """Which bytes belong to words: all but white space, or letters, digits and non-ASCII bytes, or all but blanks and ends of pieces."""
     if kind == "space":
         return bytes(0 if c == 32 or 9 <= c <= 13 else 1 for c in range(256))
+    if kind == "phrase":
+        return bytes(0 if c in b" \t" + PIECE_ENDS else 1 for c in range(256))
     return bytes(1 if c >= 128 or chr(c).isalnum() else 0 for c in range(256))
 
 
-_INSIDE = {kind: _inside(kind) for kind in ("space", "letter")}
+_INSIDE = {kind: _inside(kind) for kind in ("space", "letter", "phrase")}
 
 
 class Words:

@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbench.llm import decontaminate, mixing, ngram_join, pii, rans, secrets, suffix_dedup, topk, toxicity, warc
+from pairbench.llm import (
+    decontaminate,
+    mixing,
+    ngram_join,
+    phrases,
+    pii,
+    rans,
+    secrets,
+    suffix_dedup,
+    topk,
+    toxicity,
+    warc,
+)
 from pairbench.llm.common import table
 from pairbench.workload.registry import query
 
@@ -154,3 +166,43 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_products(table(spark, folder, "embeddings"))
+
+
+@query(
+    "op13_phrase_collocations",
+    """
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents WHERE text IS NOT NULL
+    ), w AS (
+        SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM pieces
+    ), totals AS (
+        SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang
+    ), grams AS (
+        SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(
+            range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))))) AS phrase
+        FROM w
+    ), f AS (
+        SELECT lang, phrase, string_split(phrase, ' ') AS words, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 100
+    ), cuts AS (
+        SELECT lang, phrase, n AS a, unnest(range(1, len(words))) AS k, words FROM f
+    ), scored AS (
+        SELECT c.lang, c.phrase, a, x.n AS l, y.n AS r, t.n, k,
+            CAST((1000::HUGEINT * a * t.n) // (x.n::HUGEINT * y.n) AS BIGINT) AS score
+        FROM cuts AS c JOIN totals AS t USING (lang)
+        JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:k], ' ')
+        JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[k + 1:], ' ')
+    ), best AS (
+        SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    )
+    SELECT lang, row_number() OVER rank AS rank, phrase, a, l, r, n, score
+    FROM best
+    WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = best.lang AND f.n >= best.a AND f.phrase <> best.phrase
+        AND contains(' ' || f.phrase || ' ', ' ' || best.phrase || ' '))
+    WINDOW rank AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+    QUALIFY row_number() OVER rank <= 2000
+    """,
+)
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))

@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_mixing_to_weights": ["doc_id", "source", "start_char", "block", "slot", "in_mix"],
     "op9_ngram_jaccard_join": ["doc_id", "n_shingles", "component_id"],
     "op10_exact_top_k": ["query_id", "rank", "vec_id", "score"],
+    "op13_phrase_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
 
