@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from pairbench.llm import (
     decontaminate,
+    lexical,
     mixing,
     ngram_join,
     phrases,
     pii,
+    quality,
     rans,
     secrets,
     suffix_dedup,
@@ -168,6 +170,54 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_products(table(spark, folder, "embeddings"))
 
 
+@query(
+    "op11_ranked_lexical_search",
+    """
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+        FROM documents
+    ), totals AS (
+        SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM words
+    ), tf AS (
+        SELECT doc_id, n, term, count(*) AS tf
+        FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM words) GROUP BY ALL
+    ), items AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+        FROM benchmark
+    ), weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM tf, totals GROUP BY term, n_docs
+    ), scored AS (
+        SELECT item_id, doc_id, CAST(sum(
+            w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+        FROM items JOIN weights USING (term) JOIN tf USING (term), totals GROUP BY ALL
+    )
+    SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0
+    WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+    QUALIFY row_number() OVER best <= 10
+    """,
+)
+def op11_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_quality_classifier")
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query(
     "op13_phrase_collocations",
     """

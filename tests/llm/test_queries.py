@@ -18,6 +18,8 @@ COLUMNS = {
     "op8_mixing_to_weights": ["doc_id", "source", "start_char", "block", "slot", "in_mix"],
     "op9_ngram_jaccard_join": ["doc_id", "n_shingles", "component_id"],
     "op10_exact_top_k": ["query_id", "rank", "vec_id", "score"],
+    "op11_ranked_lexical_search": ["item_id", "rank", "doc_id", "score"],
+    "op12_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
     "op13_phrase_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
