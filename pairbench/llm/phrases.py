@@ -97,16 +97,16 @@ def bitmap(hashes: DataFrame) -> Bitmap:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            place = batch.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
-            number = (place // np.uint64(width)).astype(np.int64)
+            place, number = batch.column("place").to_numpy(), batch.column("part").to_numpy()
             for part in np.unique(number).tolist():
-                bits = held.setdefault(part, np.zeros(width, bool))
-                bits[(place[number == part] % np.uint64(width)).astype(np.int64)] = True
+                held.setdefault(part, np.zeros(width, bool))[place[number == part] % width] = True
         for part, bits in held.items():
             packed = np.packbits(bits, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["part", "bits"])
 
-    numbered = hashes.select("hash", F.shiftrightunsigned("hash", 64 - _SLICE_BITS).alias("part"))
+    # Distinct places first: what the few tasks read is bounded by the bitmap, not by the hashes.
+    place = F.shiftrightunsigned("hash", 64 - BITS).alias("place")
+    numbered = hashes.select(place).distinct().withColumn("part", F.shiftright("place", BITS - _SLICE_BITS))
     parts = numbered.repartition(1 << _SLICE_BITS, "part").mapInArrow(build, "part int, bits binary").collect()
     packed = np.zeros(1 << (BITS - 3), np.uint8)
     for row in parts:
