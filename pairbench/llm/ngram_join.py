@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 
 from pairbench.llm.common import Words, chain, mix, powers, slices, stage, text_of
 from pairbench.llm.graph import components
+from pairbench.session import shared_dir
+from pairbench.sources import files
 
 #: Members of a piece of a group, about.
 PIECE = 64
@@ -241,7 +243,8 @@ def _meet(members: DataFrame, queries: DataFrame, held: DataFrame, percent: int)
     """Links (a, b) between components, from queries to members of the same piece (leader, cut).
 
     Both have (leader, cut, rep, component). A piece with many queries is dealt
-    out under several salts, and its members go to each of them.
+    out under several salts, and its members go to each of them. Sets move once:
+    places of known and small number are broadcast to them.
     """
     sets = held.select(F.col("id").alias("rep"), "shingles")
     busy = queries.groupBy("leader", "cut").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("salts"))
@@ -255,7 +258,8 @@ def _meet(members: DataFrame, queries: DataFrame, held: DataFrame, percent: int)
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("query", F.lit(False))
     )
     columns = ["leader", "cut", "salt", "query", "component", "rep"]
-    both = asked.select(*columns).unionAll(known.select(*columns)).join(sets, "rep").drop("rep")
+    places = stage(asked.select(*columns).unionAll(known.select(*columns)))
+    both = sets.join(_few(places), "rep").drop("rep")
     key = ["leader", "cut", "salt"]
     return (
         both.repartition(*key).sortWithinPartitions(*key, "query")
@@ -263,19 +267,29 @@ def _meet(members: DataFrame, queries: DataFrame, held: DataFrame, percent: int)
     )
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """A stage table of narrow rows, broadcast where it has ``BROADCAST_IDS`` rows at most."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def similar_components(
     docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Rows (id, n_shingles, component_id): one for each row of ``docs``."""
     bands = Bands(percent)
     source = docs.select(F.col(id).alias("id"), text_of(text).alias("text"))
-    sets = stage(
-        source.mapInArrow(_sets(words, bands), "id long, n long, x long, y long, signatures array<long>")
-    )
-    known = sets.filter("n > 0 AND id IS NOT NULL")
     key = ["n", "x", "y"]
-    classes = stage(known.groupBy(*key).agg(F.min("id").alias("rep")))
-    links = stage(_links(source, known, classes, words, percent))
+    # Signatures are most of this table; it goes as soon as those that are shared are known.
+    wide = shared_dir(docs.sparkSession)
+    signed = files.stage(source.mapInArrow(_sets(words, bands), "id long, n long, x long, y long, signatures array<long>"), wide)
+    sets = stage(signed.drop("signatures"))
+    known = "n > 0 AND id IS NOT NULL"
+    classes = stage(sets.filter(known).groupBy(*key).agg(F.min("id").alias("rep")))
+    with files.stages() as made:
+        entries = _entries(signed.filter(known), classes)
+        files.remove(docs.sparkSession, wide)
+        links = stage(_links(source, entries, words, percent))
+        made.keep()
     found = components(links).withColumnsRenamed({"node": "rep"})
     chosen = classes.join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     result = sets.select("id", *key).join(chosen, key, "left")
@@ -284,16 +298,17 @@ def similar_components(
     return result.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _links(source: DataFrame, known: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between class representatives that suffice for the components."""
-    signs = known.select("id", "x", F.explode("signatures").alias("sign"))
-    # Signatures of more than one class; a class is told from others by half of its hash.
-    shared = signs.groupBy("sign").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+def _entries(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (sign, rep, n): signatures that several classes share, with those classes."""
+    chosen = classes.select(F.col("rep").alias("id"), "n", "x", "y")
+    signs = signed.join(_few(chosen), ["id", "n", "x", "y"]).select(F.col("id").alias("rep"), "n", F.explode("signatures").alias("sign"))
+    shared = signs.groupBy("sign").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     shared = stage(shared.filter("low <> high").select("sign"))
-    reps = known.select("id", "n", "x", "y").join(classes, ["n", "x", "y"]).select("id", "n", "rep")
-    entries = stage(
-        signs.select("id", "sign").join(shared, "sign").join(reps, "id").select("sign", "rep", "n").distinct()
-    )
+    return stage(signs.join(shared, "sign").select("sign", "rep", "n").distinct())
+
+
+def _links(source: DataFrame, entries: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between class representatives that suffice for the components."""
     # Who shares most leads.
     size = entries.groupBy("sign").agg(F.count(F.lit(1)).alias("size"))
     weight = entries.join(size, "sign").groupBy("rep").agg(F.sum("size").alias("weight"))
@@ -306,9 +321,7 @@ def _links(source: DataFrame, known: DataFrame, classes: DataFrame, words: int,
     cut = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / PIECE)).cast("int")
     pieces = stage(best.join(many, "leader").select("rep", "leader", cut.alias("cut")))
 
-    wanted = pieces.select(F.col("rep").alias("id"))
-    few = wanted.count() <= BROADCAST_IDS
-    chosen = source.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    chosen = source.join(_few(pieces.select(F.col("rep").alias("id"))), "id", "left_semi")
     held = stage(chosen.mapInArrow(_set_rows(words), "id long, shingles binary"))
 
     # Each set against its leader.

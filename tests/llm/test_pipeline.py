@@ -85,10 +85,47 @@ def test_edges_of_the_stages(spark, docs):
     for _, step in corpus_pipeline.STAGES[:-1]:
         made = stage(step(spark, made, FOLDER))
         assert made.columns == COLUMNS
-    assert sorted(i or 0 for i in ids(made)) == [0, 1, 2, 3]
+    # The row without an id is a copy of the first.
+    assert sorted(ids(made)) == [1, 2, 3]
     last = corpus_pipeline.STAGES[-1][1](spark, made, FOLDER)
-    assert sorted(r.n_tokens for r in last.collect()) == [1, 1, 7, 7]
+    assert sorted(r.n_tokens for r in last.collect()) == [1, 1, 7]
     empty = stage(docs([]).drop("id"))
     for _, step in corpus_pipeline.STAGES:
         empty = stage(step(spark, empty, FOLDER))
         assert empty.count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark, docs):
+    first, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    item = table(spark, FOLDER, "benchmark").first().text
+    rows = [(1, first, "en", "b"), (1, first, "en", "a"), (1, other), (2, other), (None, first), (None, "all alone here")]
+    rows += [(None, f"before {item} after"), (7, f"words {item} words"), (None, None), (8, None)]
+    kept = stage(corpus_pipeline.without_near_duplicates(spark, stage(docs(rows).drop("id")), FOLDER))
+    got = {(r.doc_id, r.text, r.source) for r in kept.collect()}
+    assert got >= {(1, first, "a"), (1, other, None), (None, "all alone here", None), (8, None, None), (None, None, None)}
+    assert (1, first, "b") not in got and (2, other, None) not in got and (None, first, None) not in got
+    clean = [r.text for r in corpus_pipeline.without_benchmark(spark, kept, FOLDER).collect()]
+    assert len(clean) == 5 and not any(item in (t or "") for t in clean)
+
+
+def test_names_of_the_mix_may_be_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    made = docs([(i, f"text {i} " * 9, "en", "xy"[i % 2]) for i in range(20)]).drop("id")
+    for name in ("slot", "block", "order", "start_char", "in_mix", "row", "key", "path", "part", "file", "score", "rank", "n"):
+        made = made.withColumn(name, F.lit("x"))
+    made = stage(made)
+    columns = made.columns
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        made = stage(step(spark, made, FOLDER))
+        assert made.columns == columns and made.count() == 20
+    assert corpus_pipeline.STAGES[-1][1](spark, made, FOLDER).count() == 20
+
+
+def test_parts_of_more_than_five_digits(spark):
+    from pyspark.sql import functions as F
+
+    names = [f"part-{n:05d}-x.c000.parquet" for n in (99998, 99999, 100000, 100001, 7)]
+    df = spark.createDataFrame([(n, 0) for n in names], "name string, at long")
+    order = corpus_pipeline.written_order(F.col("name"), F.col("at"))
+    assert [r.name[5:11].strip("-") for r in df.orderBy(*order).collect()] == ["00007", "99998", "99999", "100000", "100001"]
