@@ -6,14 +6,15 @@ representatives go on. Then, for a threshold t:
 1. *Signatures.* Sets of similar size share a band. A pair that reaches t differs
    in at most D shingles (D by band), so of m > D parts, into which shingles fall
    by hash, at least m - D are equal in both. Each set has a signature per part;
-   every linked pair shares one. A part holds about 1 / (1 - t) shingles, so
-   common lines or words alone make no shared signature.
+   every linked pair shares one, and as many more as its own size demands. A part
+   holds about 1 / (1 - t) shingles, so common lines or words alone make few shared
+   signatures; sets that share too few for a link in their band are left out.
 2. *Groups.* Of each shared signature, the set that shares most is the leader. A
    set is compared with its leaders, exactly, and joins the group of the leader
    that it shares most signatures with. Groups are cut into bounded pieces.
 3. *Token-group matrix.* Each piece stores the union of its members' shingles.
-   Where pieces share a signature and hold several components, the members of
-   one are queries to the other: a query's overlap with the union bounds its
+   Where pieces share as many signatures as a link demands and hold several
+   components, the members of one are queries to the other: a query's overlap with the union bounds its
    overlap with every member. Only pieces whose bound reaches what t demands are opened, and their
    members are compared exactly.
 
@@ -49,6 +50,8 @@ PIECE = 64
 QUERIES = 256
 #: Ids up to this number are broadcast to pick their texts; beyond it, texts shuffle by id.
 BROADCAST_IDS = 1_000_000
+#: Rounds of dropping sets that share too few signatures.
+ROUNDS = 2
 _BAND_RATIO = 1.5
 _BANDS = 64
 
@@ -104,11 +107,16 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(text, np.arange(len(texts) + 1))
 
 
-def signatures(value: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets, and the set each is of."""
+def signatures(value: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of all sets, the set each is of, and how many a set shares with any that it links with.
+
+    The last has a column for the set's own band and for each of the two below it. The band is in a
+    signature's leading bits.
+    """
     sizes = np.diff(offsets)
     own = bands.of(np.maximum(sizes, 1))
     found = []
+    needs = np.ones((len(sizes), 3), np.int32)
     for below in (0, 1, 2):
         band = own - below
         which = np.flatnonzero((sizes > 0) & (band >= 0))
@@ -116,10 +124,11 @@ def signatures(value: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np
         if below:
             which = which[bands.reached(sizes[which], band[which])]
         if len(which):
-            found.append(_signatures(value, offsets, which, band[which], bands))
+            signs, owner, needs[which, below] = _signatures(value, offsets, which, band[which], bands)
+            found.append((signs, owner))
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate([s for s, _ in found]), np.concatenate([w for _, w in found])
+        return np.empty(0, np.uint64), np.empty(0, np.int64), needs
+    return np.concatenate([s for s, _ in found]), np.concatenate([w for _, w in found]), needs
 
 
 def _signatures(value, offsets, which, band, bands):
@@ -142,7 +151,11 @@ def _signatures(value, offsets, which, band, bands):
     # Empty parts count only where so many are empty that no other part need be equal.
     empty = parts - np.add.reduceat(filled.astype(np.int64), base)
     keep = filled | np.repeat(empty >= parts - bands.differ[band], parts)
-    return mix(sums * powers(2)[1] + mix(tag))[keep], np.repeat(which, parts)[keep]
+    signs = mix(sums * powers(2)[1] + mix(tag)) >> np.uint64(6) | np.repeat(band, parts).astype(np.uint64) << np.uint64(58)
+    # Parts that a partner of the greatest size leaves equal, but for those that are empty.
+    differ = (sizes + sizes * 100 // bands.percent) * (100 - bands.percent) // (100 + bands.percent)
+    need = parts - np.minimum(differ, bands.differ[band]) - empty
+    return signs[keep], np.repeat(which, parts)[keep], np.maximum(need, 1)
 
 
 def _sets(words: int, bands: Bands):
@@ -156,15 +169,19 @@ def _sets(words: int, bands: Bands):
                     total = np.zeros(len(value) + 1, np.uint64)
                     np.cumsum(mix(value + np.uint64(salt << 50)), out=total[1:])
                     sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
-                signs, owner = signatures(value, offsets, bands)
+                signs, owner, needs = signatures(value, offsets, bands)
                 order = np.argsort(owner, kind="stable")
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(owner[order], np.arange(batch.num_rows + 1)), pa.int32()),
                     pa.array(signs[order].view(np.int64)),
                 )
+                needed = pa.ListArray.from_arrays(
+                    pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * 3), pa.array(needs.ravel())
+                )
+                band = pa.array(bands.of(np.maximum(sizes, 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), lists],
-                    ["id", "n", "x", "y", "signatures"],
+                    [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), lists, band, needed],
+                    ["id", "n", "x", "y", "signatures", "band", "needs"],
                 )
 
     return rows
@@ -281,8 +298,9 @@ def similar_components(
     key = ["n", "x", "y"]
     # Signatures are most of this table; it goes as soon as those that are shared are known.
     wide = shared_dir(docs.sparkSession)
-    signed = files.stage(source.mapInArrow(_sets(words, bands), "id long, n long, x long, y long, signatures array<long>"), wide)
-    sets = stage(signed.drop("signatures"))
+    schema = "id long, n long, x long, y long, signatures array<long>, band int, needs array<int>"
+    signed = files.stage(source.mapInArrow(_sets(words, bands), schema), wide)
+    sets = stage(signed.select("id", *key))
     known = "n > 0 AND id IS NOT NULL"
     classes = stage(sets.filter(known).groupBy(*key).agg(F.min("id").alias("rep")))
     with files.stages() as made:
@@ -299,12 +317,27 @@ def similar_components(
 
 
 def _entries(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (sign, rep, n): signatures that several classes share, with those classes."""
+    """Rows (sign, band, rep, need): signatures that several classes share, with those classes.
+
+    A set that shares fewer signatures of a band than a link needs links with none there, so such
+    entries go; what that leaves alone goes in a second round.
+    """
     chosen = classes.select(F.col("rep").alias("id"), "n", "x", "y")
-    signs = signed.join(_few(chosen), ["id", "n", "x", "y"]).select(F.col("id").alias("rep"), "n", F.explode("signatures").alias("sign"))
+    signs = signed.join(_few(chosen), ["id", "n", "x", "y"]).select(
+        F.col("id").alias("rep"), F.col("band").alias("own"), "needs", F.explode("signatures").alias("sign")
+    )
     shared = signs.groupBy("sign").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     shared = stage(shared.filter("low <> high").select("sign"))
-    return stage(signs.join(shared, "sign").select("sign", "rep", "n").distinct())
+    band = F.shiftrightunsigned("sign", 58).cast("int")
+    entries = signs.join(shared, "sign").select("sign", band.alias("band"), "rep", F.get("needs", F.col("own") - band).alias("need"))
+    # Rows of several sets may share an id; the least need of them holds for it.
+    entries = stage(entries.groupBy("sign", "band", "rep").agg(F.min("need").alias("need")))
+    for _ in range(ROUNDS):
+        enough = entries.groupBy("rep", "band").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+        able = entries.join(enough.filter("n >= need").select("rep", "band"), ["rep", "band"], "left_semi")
+        several = able.groupBy("sign").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+        entries = stage(able.join(several.filter("low <> high").select("sign"), "sign", "left_semi"))
+    return entries
 
 
 def _links(source: DataFrame, entries: DataFrame, words: int, percent: int) -> DataFrame:
@@ -332,18 +365,24 @@ def _links(source: DataFrame, entries: DataFrame, words: int, percent: int) -> D
     # Sets against pieces that hold members of other components.
     merged = components(first).withColumnRenamed("node", "rep")
     everyone = stage(pieces.join(merged, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    at = entries.select("sign", "rep").join(everyone, "rep")
+    at = entries.join(everyone, "rep")
     several = at.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     at = stage(at.join(several.filter("low <> high").select("sign"), "sign"))
     members = stage(at.select("leader", "cut", "rep", "component").distinct())
-    # Pieces that share a signature, each pair once; then the members of one are queries to the other.
+    # Pieces that share as many signatures as a link of any of their members needs, each pair once; then
+    # the members of one are queries to the other.
     piece = F.struct("leader", "cut")
-    held_by = at.groupBy("sign", piece.alias("piece")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    other = held_by.withColumnsRenamed({"piece": "target", "low": "target_low", "high": "target_high"})
+    held_by = at.groupBy("sign", "band", piece.alias("piece")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("need").alias("need")
+    )
+    least = held_by.groupBy("piece", "band").agg(F.min("need").alias("least"))
+    held_by = stage(held_by.drop("need").join(least, ["piece", "band"]))
+    other = held_by.withColumnsRenamed({"piece": "target", "low": "target_low", "high": "target_high", "least": "target_least"})
     met = (
-        held_by.join(other, "sign")
+        held_by.join(other.drop("band"), "sign")
         .filter("piece >= target AND (low <> high OR low <> target_low OR low <> target_high)")
-        .select("piece", "target").distinct()
+        .groupBy("piece", "target", "band").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("least", "target_least")).alias("need"))
+        .filter("n >= need OR piece = target").select("piece", "target").distinct()
     )
     spans = members.groupBy(piece.alias("target")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
     queries = stage(

@@ -83,16 +83,20 @@ def test_a_linked_pair_shares_a_signature():
     rng = np.random.default_rng(0)
     for percent in (80, 90):
         bands = ngram_join.Bands(percent)
-        for _ in range(150):
-            n = int(rng.integers(2, 300))
+        for round in range(400):
+            n = int(rng.integers(2, 300 if round % 4 else 3000))
             base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
             drop = int(rng.integers(0, n // 8 + 1))
             other = np.unique(np.append(base[drop:], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)))
             common = len(np.intersect1d(base, other))
             value, offsets = np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)])
-            signs, owner = ngram_join.signatures(value, offsets, bands)
+            signs, owner, needs = ngram_join.signatures(value, offsets, bands)
             if 100 * common >= percent * (len(base) + len(other) - common) and len(base) + len(other) != 2 * common:
-                assert set(signs[owner == 0]) & set(signs[owner == 1])
+                shared = np.array(sorted(set(signs[owner == 0]) & set(signs[owner == 1])), np.uint64)
+                own = bands.of(np.diff(offsets))
+                # In the band of the smaller set they share what either of them needs.
+                below = own - own.min()
+                assert max(1, *needs[[0, 1], below]) <= (shared >> np.uint64(58) == own.min()).sum()
 
 
 def test_components_of_a_path_and_a_star(spark):
