@@ -8,6 +8,7 @@ from pairbench.constants import CALL_FAILED
 from pairbench.functions import labels as L
 from pairbench.operators import metrics, scoring, tables
 from pairbench.plans import jobs
+from pairbench.session import shared_dir
 from pairbench.sources import testbed
 from pairbench.sources.files import stage
 from pairbench.workload import checks, inputs
@@ -36,6 +37,15 @@ def score_pairs_resume(spark, folder):
     return scoring.score_remaining(pairs, stored, testbed.offline_scorer(), inputs=testbed.SCORER_INPUTS)
 
 
+@query("score_pairs_logged", "SELECT * FROM responses", ["responses"])
+def score_pairs_logged(spark, folder):
+    """A first run that got as far as one side of the pairs and left only its log, and its completion."""
+    pairs = inputs.staged_pairs(spark, folder)
+    scorer, log = testbed.offline_scorer(), shared_dir(spark)
+    stage(scoring.score_pairs(pairs.filter("higher_acuity_patient = 'A'"), scorer, testbed.SCORER_INPUTS, log=log))
+    return scoring.score_logged(pairs, scorer, log, inputs=testbed.SCORER_INPUTS)
+
+
 @query(
     "attach_responses",
     """SELECT pair_class, slot, visit_occurrence_id_combined, response_json

@@ -133,7 +133,7 @@ def test_quota_is_shared_by_the_tasks():
         calls.append(clock.now)
         return "x"
 
-    pause = 4 * 60 / 295  # four tasks, 295 calls per minute
+    pause = scoring.quota_share(295, 4)
     run = scoring.scoring_task(scorer, pause, pacer=lambda s: scoring.paced(s, clock, clock.sleep))
     batch = pd.DataFrame({"visit_occurrence_id_combined": list("abcdef"), "prompt": list("abcdef")})
     out = pd.concat(run(iter([batch.iloc[:4], batch.iloc[4:]])))
@@ -169,3 +169,93 @@ def test_only_the_last_prompt_of_an_id(spark):
     assert {tuple(r) for r in scoring.prompts_by_id(pairs, order).collect()} == {("a", "last"), ("b", "only")}
     scored = scoring.score_pairs(pairs, lambda row: row["prompt"].upper(), partitions=2, last_by=order)
     assert {(r.visit_occurrence_id_combined, r.response_json) for r in scored.collect()} == {("a", "LAST"), ("b", "ONLY")}
+
+
+def test_a_share_of_the_quota_is_whole_calls():
+    for calls, tasks in ((295, 4), (295, 64), (10, 10), (7, 2)):
+        pause = scoring.quota_share(calls, tasks)
+        # Calls at equal distances: the most that any half-open window of 60 seconds holds.
+        assert sum(k * pause < 60 - 1e-9 for k in range(400)) * tasks <= calls
+    with pytest.raises(ValueError, match="quota"):
+        scoring.quota_share(10, 11)
+
+
+def test_the_log_of_calls(tmp_path):
+    clock = Clock()
+    log = scoring.CallLog(str(tmp_path), 3, clock)
+    assert log.latest() is None and list(log.batches()) == []
+    wait = log.paced(2.0, clock.sleep)
+    wait(), wait()
+    assert clock.now == 2.0 and log.latest() == 2.0
+    frame = pd.DataFrame({"visit_occurrence_id_combined": ["a", "b"], "prompt": ["p", None], "response_json": ["r", "s"]})
+    log.commit(frame)
+    # Half a file of a lost attempt does not count.
+    (tmp_path / "p000003" / ".half.parquet").write_bytes(b"PAR1")
+    clock.now = 2.5
+    again = scoring.CallLog(str(tmp_path), 3, clock)
+    assert [b.to_dict("records") for b in again.batches()] == [frame.to_dict("records")]
+    again.paced(2.0, clock.sleep)()
+    assert clock.now == 4.0
+    assert scoring.CallLog(str(tmp_path), 4, clock).latest() is None
+    # The first attempt has lost the partition.
+    with pytest.raises(RuntimeError, match="taken over"):
+        log.started()
+
+
+def _dying_scorer(folder, after):
+    """Records each prompt with the time of its call; its process dies once, at the given call of some task."""
+
+    def scorer(row):
+        import os
+        import time
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{time.time()} {row['prompt']}")
+        if len(os.listdir(folder)) >= after and not os.path.exists(f"{folder}.died"):
+            open(f"{folder}.died", "w").close()
+            os._exit(1)
+        return "ok " + row["prompt"]
+
+    return scorer
+
+
+def _sent(folder):
+    calls = [p.read_text().split(" ", 1) for p in folder.iterdir()]
+    return sorted((float(t), prompt) for t, prompt in calls)
+
+
+def test_a_quota_holds_over_a_lost_task_and_little_is_sent_twice(spark, tmp_path):
+    calls, log = tmp_path / "calls", str(tmp_path / "log")
+    calls.mkdir()
+    # Two tasks, each a call every 0.1 seconds.
+    scored = scoring.score_pairs(
+        _pairs(spark, 60), _dying_scorer(str(calls), 13), partitions=2, calls_per_minute=1200, log=log, commit_rows=4
+    )
+    got = scored.collect()
+    assert (tmp_path / "calls.died").exists()
+    assert sorted(r.response_json for r in got) == sorted(f"ok prompt {i}" for i in range(30))
+    times = [t for t, _ in _sent(calls)]
+    # As a minute holds 1200 calls at most, so does a second 20.
+    assert all(sum(a <= t < a + 1 for t in times) <= 20 for a in times)
+    # Beyond the open batches of both tasks, nothing is sent twice; a second read sends nothing.
+    assert 30 < len(times) <= 30 + 2 * 4
+    assert len(scored.collect()) == 30 and len(_sent(calls)) == len(times)
+
+
+def test_a_lost_job_is_taken_up_from_its_log(spark, tmp_path):
+    calls, log = tmp_path / "calls", str(tmp_path / "log")
+    calls.mkdir()
+    scorer = _dying_scorer(str(calls), 20)
+    assert scoring.logged_responses(spark, log).count() == 0
+    with pytest.raises(Exception):
+        scoring.score_pairs(_pairs(spark, 60), scorer, partitions=2, log=log, commit_rows=3).collect()
+    before = _sent(calls)
+    known = scoring.logged_responses(spark, log).collect()
+    assert 0 < len(known) < 30 and len(before) <= len(known) + 2 * 3
+    got = scoring.score_logged(_pairs(spark, 60), scorer, log, partitions=2, commit_rows=3).collect()
+    assert sorted(r.response_json for r in got) == sorted(f"ok prompt {i}" for i in range(30))
+    assert len(_sent(calls)) == len(before) + 30 - len(known)
+    # All is on record now.
+    assert len(scoring.score_logged(_pairs(spark, 60), scorer, log, partitions=3).collect()) == 30
+    assert len(_sent(calls)) == len(before) + 30 - len(known)
