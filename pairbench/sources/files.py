@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,8 @@ _CSV_OPTIONS = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
 }
 _INDEX_COLUMN = "__row_index"
+# Lengths of CSV rows in a class differ by this factor at most.
+_CLASS = 16
 
 
 def read_parquet(
@@ -72,15 +75,23 @@ def read_csv(
     return df.drop(_INDEX_COLUMN)
 
 
-def csv_rows_per_file(df: DataFrame, max_bytes: int) -> int:
-    """How many of the longest rows fit into ``max_bytes``, quotes and separators included.
+def _csv_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes, quotes and separators included; fields that are no strings count as 32."""
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return sum(text, F.lit(35 * max(1, len(df.columns)))).cast("long")
+
 
-    Reads the table once. Fields that are no strings count as 32 bytes.
+def csv_classes(df: DataFrame, max_bytes: int) -> list[tuple[int, int, int]]:
+    """Classes of row lengths: (bytes above, bytes up to, rows that fit into ``max_bytes``), in one pass.
+
+    A class spans a factor of ``_CLASS``, so its files are filled to that share at least, and a few very
+    long rows do not cut the others into small files.
     """
-    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
-    row = sum(text, F.lit(35 * max(1, len(df.columns))))
-    longest = df.agg(F.max(row)).first()[0] or 1
-    return max(1, max_bytes // longest)
+    size = _csv_bytes(df)
+    top = F.ceil(F.log(float(_CLASS), size.cast("double")) - F.lit(1e-9)).cast("int")
+    found = df.groupBy(top.alias("top")).agg(F.max(size).alias("longest")).orderBy("top").collect()
+    edges = [0, *[r["longest"] for r in found]]
+    return [(a, b, max(1, max_bytes // b)) for a, b in zip(edges, edges[1:])]
 
 
 def write_csv(
@@ -93,24 +104,54 @@ def write_csv(
     """Write CSV with every field quoted.
 
     A file whose texts hold line breaks is read back by one task, hence the
-    bounds on rows and bytes per file. The latter is kept by the measured length
-    of the longest row; None spares that look at the table.
+    bounds on rows and bytes per file. Only a row that is longer itself makes a
+    longer file. Rows are written class by class of their length, each class with
+    the number of rows a file that its longest row allows; a table whose rows are of
+    similar length is written at once. None for the bytes spares that look at the table.
     """
+    classes = [(0, None, max_rows_per_file)]
     if max_bytes_per_file is not None:
-        max_rows_per_file = min(max_rows_per_file, csv_rows_per_file(df, max_bytes_per_file))
-    (
-        df.write.mode(mode)
-        .options(**_CSV_OPTIONS)
-        .option("quoteAll", True)
-        .option("maxRecordsPerFile", max_rows_per_file)
-        .csv(path)
-    )
+        found = csv_classes(df, max_bytes_per_file)
+        fits = max_bytes_per_file // found[-1][1] if found else 0
+        if found and fits < max_rows_per_file:
+            classes = found
+    size = _csv_bytes(df)
+    for number, (above, upto, rows) in enumerate(classes):
+        part = df if len(classes) == 1 else df.filter((size > above) & (size <= upto))
+        (
+            part.write.mode(mode if number == 0 else "append")
+            .options(**_CSV_OPTIONS)
+            .option("quoteAll", True)
+            .option("maxRecordsPerFile", min(rows, max_rows_per_file))
+            .csv(path)
+        )
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """Write a catalog table bucketed and sorted by ``key``, and read it back.
+
+    Joins by the key then read this side as it lies, without a shuffle, and deal out
+    the other side to its buckets. There are as many buckets as a shuffle has
+    partitions, unless told otherwise; with fewer, Spark would rather shuffle than
+    lose parallelism. The files go to ``path`` or to the shared folder, one per
+    bucket, as rows are dealt out by the key before they are written. A table of that
+    name is replaced; it may be part of ``df`` if its files lie elsewhere.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = path or shared_dir(spark)
+    dealt = df.repartition(buckets, key).sortWithinPartitions(key)
+    fresh = f"{name}_{uuid.uuid4().hex}"
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(fresh)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    return spark.table(name)
+
+
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to parquet in the shared folder and read it back.
 

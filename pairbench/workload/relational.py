@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,6 +213,27 @@ def notes_with_text(spark, folder):
     return notes.attach_text(headers, testbed.note_text(spark, folder))
 
 
+def _bucketed_texts(spark, folder):
+    return files.write_bucketed(testbed.note_text(spark, folder), f"note_text_{uuid.uuid4().hex}", "deid_note_key")
+
+
+@query(
+    "notes_with_text_bucketed",
+    """SELECT n.* EXCLUDE (person_id), n.person_id AS person_id_notes, note_text
+    FROM note_metadata n LEFT JOIN note_text USING (deid_note_key)""",
+    ["note_metadata", "note_text"],
+)
+def notes_with_text_bucketed(spark, folder):
+    """The same with texts that lie in buckets by note key, as they would for repeated cohorts."""
+    headers = jobs.note_headers(testbed.note_metadata(spark, folder))
+    return notes.attach_text(headers, _bucketed_texts(spark, folder))
+
+
+@query("cohort_notes_bucketed", "SELECT * FROM cohort", ["cohort"])
+def cohort_notes_bucketed(spark, folder):
+    return jobs.cohort_notes(**{**testbed.domain(spark, folder), "note_text": _bucketed_texts(spark, folder)})
+
+
 @query(
     "two_hop_lookup",
     """SELECT c_custkey, care_site_id, location_source_value

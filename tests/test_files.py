@@ -97,6 +97,30 @@ def test_csv_files_are_bounded_by_bytes(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == rows
 
 
+def test_one_long_row_does_not_cut_the_others_into_small_files(spark, tmp_path):
+    short = spark.range(100_000).selectExpr("id", "concat('line\n', id) AS t")
+    df = short.unionAll(spark.range(1).selectExpr("-1L AS id", "repeat('long ', 400000) AS t")).coalesce(2)
+    for times in range(2):  # overwrites
+        files.write_csv(df, str(tmp_path / "c"), max_bytes_per_file=1 << 20)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "c").glob("*.csv"))
+    # About 100 bytes a row count as the estimate, so a dozen files do; the long row has one for itself.
+    assert len(sizes) < 20 and sizes[-2] <= 1 << 20 and sizes[-1] > 2_000_000
+    back = files.read_csv(spark, str(tmp_path / "c"), df.schema)
+    assert back.count() == 100_001 and back.exceptAll(df).count() == 0
+
+
+def test_classes_of_row_lengths(spark):
+    df = spark.createDataFrame([(n, "x" * n) for n in (0, 10, 100, 5000, 5001, 10**6, 10**6)], "n int, t string")
+    got = files.csv_classes(df, 1 << 20)
+    lengths = [n + 70 for n in (0, 10, 100, 5000, 5001, 10**6)]
+    assert got[0][0] == 0 and got[-1][1] == 10**6 + 70 and got[-1][2] == 1
+    assert [a for a, _, _ in got[1:]] == [b for _, b, _ in got[:-1]]
+    for above, upto, rows in got:
+        inside = [x for x in lengths if above < x <= upto]
+        assert inside and max(inside) <= 16 * min(inside) + 1 and rows == max(1, (1 << 20) // upto)
+    assert files.csv_classes(df.limit(0), 100) == []
+
+
 def test_stages_are_removed_unless_kept(spark):
     with files.stages() as made:
         first = files.stage(spark.range(3))

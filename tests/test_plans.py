@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from pairbench.operators import metrics, notes, pairing, sampling, scoring, tables
 from pairbench.plans import jobs
-from pairbench.sources import testbed
+from pairbench.sources import files, testbed
 
 FOLDER = "/root/testdata/sf0.001"
 # Queries that call a scorer or a tokenizer of the user's.
@@ -92,6 +92,26 @@ def test_texts_are_never_broadcast(spark):
     assert "LeftSemi" in below[: below.index("FileScan")]
 
 
+def test_bucketed_texts_are_not_shuffled(spark, no_broadcast, tmp_path):
+    domain = testbed.domain(spark, FOLDER)
+    texts = files.write_bucketed(domain["note_text"], "bucketed_texts", "deid_note_key", path=str(tmp_path / "texts"))
+    assert texts.count() == domain["note_text"].count()
+    assert len(list((tmp_path / "texts").glob("part-*"))) <= 8
+    headers = jobs.note_headers(domain["note_metadata"])
+    domain["note_text"] = texts
+    for df in (notes.attach_text(headers, texts), jobs.cohort_notes(**domain)):
+        text = plan(df)
+        assert text.startswith("AdaptiveSparkPlan") and text.index("SortMergeJoin [deid_note_key") < text.index("Exchange")
+        # The texts are the last input of the last join; headers are dealt out to their buckets.
+        side = text[text.rindex("Sort [__right_key"):]
+        assert "Bucketed: true" in side and "Exchange" not in side
+        assert "Exchange hashpartitioning(deid_note_key" in text
+    # Written anew, also with another number of buckets.
+    again = files.write_bucketed(domain["note_text"].limit(5), "bucketed_texts", "deid_note_key", 3, str(tmp_path / "more"))
+    assert again.count() == 5
+    spark.sql("DROP TABLE bucketed_texts")
+
+
 def test_headers_are_read_once(spark, no_broadcast):
     domain = testbed.domain(spark, FOLDER)
     domain.pop("note_text")
