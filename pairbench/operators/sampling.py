@@ -155,14 +155,16 @@ def stratified_sample(
     length = None if strata is None else n * len(strata)
     ranks, sizes = stratum_ranks(df, stratum, key, seed, known)
     # Slots are numbered in blocks, so that no row ever holds an array of all n. The
-    # blocks are dealt out by number: one task would make all slots of a stratum else.
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # blocks, if there are several, are dealt out by number: one task would make all slots
+    # of a stratum else.
     block = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _BLOCK))).alias("block")
     within = F.explode(F.sequence(F.lit(0), F.lit(_BLOCK - 1))).alias("within")
+    blocks = sizes.select(stratum, block)
+    if n > _BLOCK:
+        spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartition(spread, stratum, "block")
     slots = (
-        sizes.select(stratum, block)
-        .repartition(spread, stratum, "block")
-        .select(stratum, "block", within)
+        blocks.select(stratum, "block", within)
         .select(stratum, (F.col("block").cast("bigint") * _BLOCK + F.col("within")).alias("slot"))
         .filter(F.col("slot") < n)
     )
