@@ -156,6 +156,18 @@ def add_token_counts(df: DataFrame, count: Callable[[Column], Column] = X.token_
     )
 
 
+def note_checks(text: str = "note_text_processed") -> dict[str, Column]:
+    """What must hold for no cleaned note, by name; for ``profile.staged_with_checks``."""
+    note = F.col(text)
+    return {
+        "no text": note.isNull(),
+        "line break in note": F.contains(note, F.lit("\n")),
+        "run of spaces in note": F.contains(note, F.lit("  ")),
+        "no visit": F.col("visit_occurrence_id").isNull(),
+        "no service date": F.col("deid_service_date").isNull(),
+    }
+
+
 def refine_steps(token_limit: int = HISTORY_TOKEN_LIMIT) -> list[tuple[str, Column]]:
     """The filters between prepared and refined notes, in order, by name."""
     steps = [("acuity specified", tables.differs(F.col("acuitylevel"), UNSPECIFIED_ACUITY))]

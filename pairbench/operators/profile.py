@@ -6,13 +6,14 @@ its input once unless its docstring says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairbench.constants import SECTION_HEADERS, TOKEN_RATE_PER_1000
+from pairbench.sources.files import stage
 
 
 def _report(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
@@ -75,6 +76,20 @@ def duplicate_profile(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def staged_with_checks(df: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Write a stage table and count violations on the way: the table, and rows (check, violations).
+
+    The counts are metrics of the write itself, so checks cost no further pass. A task
+    that runs twice is counted once. NULL conditions are no violations.
+    """
+    seen = Observation()
+    counts = [_count(condition).alias(name) for name, condition in checks.items()]
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("__rows"), *counts))
+    found = seen.get
+    rows = [(name, int(found.get(name, 0))) for name in checks]
+    return staged, df.sparkSession.createDataFrame(rows, "check string, violations long")
+
+
 def cost_estimate(df: DataFrame, tokens: str, rate_per_1000: float = TOKEN_RATE_PER_1000) -> DataFrame:
     return df.agg(
         F.sum(F.col(tokens).cast("bigint")).alias("total_tokens"),

@@ -243,3 +243,31 @@ def refine_funnel(spark, folder):
 )
 def pair_invariants(spark, folder):
     return pairing.pair_invariants(inputs.pairs(spark, folder))
+
+
+@query(
+    "note_invariants",
+    """SELECT 'no text' AS "check", count(*) FILTER (WHERE note_text_processed IS NULL) AS violations FROM prepared
+    UNION ALL SELECT 'line break in note', count(*) FILTER (WHERE contains(note_text_processed, chr(10))) FROM prepared
+    UNION ALL SELECT 'run of spaces in note', count(*) FILTER (WHERE contains(note_text_processed, '  ')) FROM prepared
+    UNION ALL SELECT 'no visit', count(*) FILTER (WHERE visit_occurrence_id IS NULL) FROM prepared
+    UNION ALL SELECT 'no service date', count(*) FILTER (WHERE deid_service_date IS NULL) FROM prepared""",
+    ["prepared"],
+)
+def note_invariants(spark, folder):
+    """All cleaned notes, counted while they are written."""
+    return profile.staged_with_checks(inputs.prepared(spark, folder), notes.note_checks())[1]
+
+
+@query(
+    "raw_note_invariants",
+    """SELECT 'no text' AS "check", count(*) FILTER (WHERE note_text IS NULL) AS violations FROM note_text
+    UNION ALL SELECT 'line break in note', count(*) FILTER (WHERE contains(note_text, chr(10))) FROM note_text
+    UNION ALL SELECT 'run of spaces in note', count(*) FILTER (WHERE contains(note_text, '  ')) FROM note_text""",
+    ["note_text"],
+)
+def raw_note_invariants(spark, folder):
+    """The same before cleaning, where violations are many."""
+    checks = notes.note_checks("note_text")
+    raw = testbed.note_text(spark, folder)
+    return profile.staged_with_checks(raw, {c: checks[c] for c in list(checks)[:3]})[1]

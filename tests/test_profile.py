@@ -111,3 +111,13 @@ def test_histogram_keeps_values_beyond_int(spark):
     assert sum(r["count"] for r in got) == 3
     assert (min(r.bin_start for r in got), max(r.bin_end for r in got)) == (-6e9, 5e9)
     assert sum(r["count"] for r in profile.histogram(df, "x").collect()) == 4
+
+
+def test_checks_are_counted_while_a_stage_is_written(spark):
+    df = spark.range(100).selectExpr("id", "if(id % 4 = 0, NULL, id) AS x").repartition(7)
+    checks = {"no x": F.col("x").isNull(), "large": F.col("x") > 90, "never": F.col("id") < 0}
+    staged, report = profile.staged_with_checks(df, checks)
+    assert {r["check"]: r["violations"] for r in report.collect()} == {"no x": 25, "large": 7, "never": 0}
+    assert staged.count() == 100 and len(staged.inputFiles()) > 0
+    empty, report = profile.staged_with_checks(df.filter("id < 0"), checks)
+    assert empty.count() == 0 and [r["violations"] for r in report.collect()] == [0, 0, 0]
