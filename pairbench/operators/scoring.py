@@ -239,10 +239,14 @@ def score_pairs(
     they come, below a folder of this run: a task that is lost, or a second read of
     the result, sends only what is not there yet, and ``logged_responses`` reads
     them if the whole job is lost. With a log, a quota also holds over lost tasks:
-    they run in a barrier stage, which starts them together and has no speculative
-    copies, and go on from the latest call on record.
+    they run in a barrier stage, which starts them together (so there must be as many
+    slots as ``partitions``) and has no speculative copies, and go on from the latest
+    call on record.
     """
-    partitions = partitions or pairs.sparkSession.sparkContext.defaultParallelism
+    if partitions is None:
+        partitions = pairs.sparkSession.sparkContext.defaultParallelism
+        if calls_per_minute:
+            partitions = max(1, min(partitions, int(calls_per_minute)))
     pause = quota_share(calls_per_minute, partitions) if calls_per_minute else 0.0
     columns = [PAIR_ID, "prompt", *inputs]
     # Dealt out by number first: that is the shuffle of the deduplication too, and

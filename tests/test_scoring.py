@@ -147,6 +147,13 @@ def test_quota_runs_on_spark(spark):
     assert [r.response_json for r in got] == ["x"] * 4
 
 
+def test_a_small_quota_takes_as_few_tasks_by_itself(spark):
+    got = scoring.score_pairs(_pairs(spark, 1), lambda row: "x", calls_per_minute=3).collect()
+    assert [r.response_json for r in got] == ["x"]
+    with pytest.raises(ValueError, match="quota"):
+        scoring.score_pairs(_pairs(spark, 2), lambda row: "x", partitions=4, calls_per_minute=3)
+
+
 def test_calls_by_lists_and_several_at_a_time(spark):
     def scorer(rows):
         if any(r["prompt"].endswith("7") for r in rows):
