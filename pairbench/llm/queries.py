@@ -85,7 +85,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_mixing_to_weights")
 def op8_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return mixing.interleave(docs, mixing.proportions(docs)).drop("order")
+    return mixing.interleave(docs).drop("order")
 
 
 @query(

@@ -1,10 +1,12 @@
 """Token files, archives, toxicity, mixing and top-k search."""
 
 import gzip
+import hashlib
 import io
 import math
 import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -137,58 +139,108 @@ def test_held_out_rows(docs):
     assert all(r.out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
-def earliest_deadline_first(units, frame):
+def earliest_deadline_first(units, count):
+    """(source number, block) of each slot, by fractions."""
+    share = [Fraction(u, sum(units)) for u in units]
     done, picks = [0] * len(units), []
-    for slot in range(frame):
-        ready = [((done[i] + 1) * frame / k, i) for i, k in enumerate(units) if done[i] * frame // k <= slot]
-        picks.append(min((math.ceil(d), i) for d, i in ready)[1])
-        done[picks[-1]] += 1
+    for slot in range(count):
+        ready = [i for i, w in enumerate(share) if math.floor(done[i] / w) <= slot]
+        best = min(ready, key=lambda i: (math.ceil((done[i] + 1) / share[i]), i))
+        picks.append((best, done[best]))
+        done[best] += 1
     return picks
 
 
-@pytest.mark.parametrize("weights", [[1.0], [0.5, 0.3, 0.2], [0.9] + [0.01] * 10, [3.0] * 7 + [1.0] * 7])
+def whole(weights):
+    """Weights as ``mixing.scaled`` makes them; Spark rounds halves up."""
+    return [max(1, math.floor(w / max(weights) * mixing.SCALE + 0.5)) for w in weights]
+
+
+RANDOM = [[random.Random(s).random() ** 4 for _ in range(2 + 3 * s)] for s in range(4)]
+
+
+@pytest.mark.parametrize(
+    "weights",
+    [[1.0], [0.5, 0.3, 0.2], [0.9] + [0.01] * 10, [3.0] * 7 + [1.0] * 7, [1.0, 1e-4, 1e-4, 3.0], [1 / (i + 1) ** 2 for i in range(40)], *RANDOM],
+)
 def test_schedule(spark, weights):
-    frame = 200
-    table = spark.createDataFrame([(f"s{i:02}", w) for i, w in enumerate(weights)], "source string, weight double")
-    rows = sorted(mixing.schedule(table, frame).collect(), key=lambda r: r.slot)
-    assert [r.slot for r in rows] == list(range(frame))
-    names = sorted({r.source for r in rows})
-    units = [next(r.units for r in rows if r.source == n) for n in names]
-    assert sum(units) == frame and all(abs(k - frame * w / sum(weights)) < 2 + len(weights) for k, w in zip(units, weights))
-    assert [names.index(r.source) for r in rows] == earliest_deadline_first(units, frame)
-    # After every slot each source is less than one block off.
-    for name, k in zip(names, units):
-        count = np.cumsum([r.source == name for r in rows])
-        assert (np.abs(count - k * np.arange(1, frame + 1) / frame) < 1).all()
-
-
-def test_interleave(spark, docs):
+    count = 1200
+    sources = spark.createDataFrame([(f"s{i:02}", w, 10**6) for i, w in enumerate(weights)], "key string, weight double, blocks long")
+    rows = sorted(mixing.schedule(mixing.scaled(sources), count).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(count))
+    got = [(int(r.key[1:]), r.block) for r in rows]
+    assert got == earliest_deadline_first(whole(weights), count)
+    # After every slot each source is less than one block off its true weight.
+    picks = np.array([i for i, _ in got])
+    for i, w in enumerate(weights):
+        assert np.abs(np.cumsum(picks == i) - w / sum(weights) * np.arange(1, count + 1)).max() < 1
+
+
+def test_schedule_of_many_sources(spark):
+    rng = random.Random(11)
+    weights = [rng.random() ** 6 + 1e-6 for _ in range(1000)]
+    sources = spark.createDataFrame([(f"s{i:04}", w, 10**6) for i, w in enumerate(weights)], "key string, weight double, blocks long")
+    rows = sorted(mixing.schedule(mixing.scaled(sources), 3000).collect(), key=lambda r: r.slot)
+    picks, time = np.array([int(r.key[1:]) for r in rows]), np.arange(1, 3001)
+    assert max(np.abs(np.cumsum(picks == i) - w / sum(weights) * time).max() for i, w in enumerate(weights)) < 1
+
+
+def placed_plainly(rows, weights, block):
+    """{row: (start, block, slot, in_mix)} of rows of (key, order, id, chars), by a walk over all of them."""
+    keys = sorted(weights)
+    units = dict(zip(keys, whole([weights[k] for k in keys])))
+    total = sum(units.values())
+    deadline = lambda k, j: math.ceil(Fraction((j + 1) * total, units[k]))
+    at, places = dict.fromkeys(keys, 0), []
+    for row in sorted(rows):
+        places.append((row, at[row[0]]))
+        at[row[0]] += row[3]
+    blocks = {k: max(1, math.ceil(at[k] / block)) for k in keys}
+    picks = earliest_deadline_first([units[k] for k in keys], min(deadline(k, blocks[k]) for k in keys))
+    slots = {(keys[i], j): slot for slot, (i, j) in enumerate(picks)}
+    end = min(slots[k, b] for k, b in blocks.items() if (k, b) in slots)
+    found = []
+    for row, start in places:
+        slot = slots.get((row[0], start // block), deadline(row[0], start // block) - 1)
+        found.append((row[0], row[2], start, start // block, slot, slot < end))
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("slots", [mixing.SLOTS, 40])
+def test_interleave(spark, docs, monkeypatch, slots):
+    monkeypatch.setattr(mixing, "SLOTS", slots)
     rng = random.Random(5)
     rows = [(i, "x" * rng.randrange(200), None, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(500)]
     rows += [(500, None, None, "a"), (501, "y" * 2500, None, "b"), (None, "z", None, None), (7, "x", None, "a"), (7, "x", None, "a")]
+    rows += [(502, "", None, "empty"), (503, None, None, "empty")]
     table = docs(rows)
-    placed = mixing.interleave(table, mixing.proportions(table), block_chars=300, frame=50, keep=table.columns).collect()
-    assert len(placed) == len(rows)
-    frame = {(r.source, r.turn): (r.slot, r.units) for r in mixing.schedule(mixing.proportions(table), 50).collect()}
-    for source in ("a", "b", "c", None):
-        own = sorted((r for r in placed if r.source == source), key=lambda r: (r.start_char, len(r.text or "")))
-        at = 0
-        for r in own:
-            assert r.start_char == at and r.block == at // 300
-            slot, units = frame[source, r.block % dict(((s, t), u) for (s, t), (_, u) in frame.items())[source, 0]]
-            assert r.slot == r.block // units * 50 + slot
-            at += len(r.text or "")
-    # Up to the first source's end, weights hold within a block.
-    slots = [r.slot for r in placed if not r.in_mix]
-    assert slots and max(r.slot for r in placed if r.in_mix) < min(slots)
+    plain = []
+    for i, text, _, source in rows:
+        order = hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest()
+        plain.append(("" if source is None else "=" + source, order, -1 if i is None else i, len(text or "")))
+    size = {k: sum(r[3] for r in plain if r[0] == k) for k in {r[0] for r in plain}}
+    block = max(300, math.ceil(sum(size.values()) / slots))
+    for weights, given in (
+        ({k: max(n, 1) ** 0.5 for k, n in size.items()}, None),
+        # Missing, null and senseless weights count as the least; weights of other sources are ignored.
+        ({"=a": 2.0, "=b": 1.0, "": 0.5, "=c": 1e-12, "=empty": 1e-12}, [("a", 2.0), ("b", 1.0), ("b", 0.5), (None, 0.5), ("c", -1.0), ("zz", 1.5), ("empty", None)]),
+    ):
+        asked = None if given is None else spark.createDataFrame(given, "source string, weight double")
+        placed = mixing.interleave(table, asked, block_chars=300, keep=table.columns).collect()
+        assert len(placed) == len(rows)
+        got = [("" if r.source is None else "=" + r.source, -1 if r.doc_id is None else r.doc_id, r.start_char, r.block, r.slot, r.in_mix) for r in placed]
+        assert sorted(got, key=str) == placed_plainly(plain, weights, block)
+    narrow = mixing.interleave(table, block_chars=300)
+    assert narrow.columns == ["doc_id", "source", "start_char", "block", "slot", "in_mix", "order"]
     empty = docs([])
-    assert mixing.interleave(empty, mixing.proportions(empty)).count() == 0
+    assert mixing.interleave(empty).count() == 0
 
 
 def slots_of(spark, weights, count):
     table = spark.createDataFrame([(f"s{i:05}", float(w)) for i, w in enumerate(weights)], "source string, weight double")
     total = sum(weights)
-    blocks = mixing.paths(table).join(table.withColumn("key", F.concat(F.lit("="), "source")), "key")
+    sources = mixing.scaled(table.withColumnRenamed("weight", "given").withColumns({"weight": F.col("given"), "key": F.col("source")}))
+    blocks = mixing.paths(sources.select("key", "units")).join(sources.withColumnRenamed("given", "weight"), "key")
     blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("weight") / total * count).cast("int") + 2)))
     rows = blocks.select("source", "block", mixing.slot_of("block").alias("slot")).collect()
     return {r.slot: int(r.source[1:]) for r in rows}, len(rows)
@@ -197,7 +249,7 @@ def slots_of(spark, weights, count):
 @pytest.mark.parametrize(
     "weights", [[1.0], [0.5, 0.3, 0.2], [0.333] + [0.667 / 200] * 200, [1.0, 1e-4, 1e-4, 3.0], [1 / (i + 1) ** 2 for i in range(40)]]
 )
-def test_slots_follow_the_weights_themselves(spark, weights):
+def test_slots_of_the_tree_follow_the_weights(spark, weights):
     count = 5000
     slots, blocks = slots_of(spark, weights, count)
     assert len(slots) == blocks and set(range(count)) <= set(slots)
@@ -209,17 +261,25 @@ def test_slots_follow_the_weights_themselves(spark, weights):
 
 def test_any_number_of_sources(docs):
     table = docs([(i, "x" * (1 + i % 7), None, f"host{i % 1500}") for i in range(3000)])
-    placed = mixing.interleave(table, mixing.proportions(table), block_chars=4).collect()
+    placed = mixing.interleave(table, block_chars=4).collect()
     assert len(placed) == 3000 and len({r.source for r in placed}) == 1500
     by_slot = {}
     for r in placed:
         assert by_slot.setdefault(r.slot, r.source) == r.source
 
 
-def test_mixing_runs_no_python(docs):
-    table = docs([(1, "a", None, "s")])
-    plan = mixing.interleave(table, mixing.proportions(table))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+def test_mixing_runs_no_python(docs, monkeypatch):
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df)
+
+    staged = mixing.stage
+    monkeypatch.setattr(mixing, "stage", planned)
+    planned(mixing.interleave(docs([(1, "a", None, "s")])))
+    assert len(plans) == 6
+    assert not [p for p in plans if "Python" in p or "Pandas" in p or "Arrow" in p]
 
 
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("id", T.StringType())])
