@@ -65,7 +65,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put documents in the order of the mix; written files keep it."""
     prepare(spark)
     packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))
-    placed = mixing.interleave(packed, mixing.proportions(docs), keep=["__row"])
+    placed = mixing.interleave(packed, keep=["__row"])
     order = ["slot", "start_char", "order"]
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("__row.*")
 
