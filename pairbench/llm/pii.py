@@ -128,7 +128,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of looser shapes that overlap none of the patterns'; earlier kinds win."""
-    taken = sorted((a, b) for _, a, b in base)
+    # One byte for each character, so that a test costs the length of a span, however many there are.
+    taken = bytearray(len(text))
+    for _, a, b in base:
+        taken[a:b] = bytes([1]) * (b - a)
     found = []
     low = text.lower() if "at" in text.lower() else ""
     for kind, shape in SHAPES.items():
@@ -136,9 +139,9 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             continue
         for m in shape.finditer(text):
             a, b = m.span()
-            if all(b <= x or a >= y for x, y in taken):
+            if taken.find(1, a, b) < 0:
                 found.append((kind, a, b))
-                taken.append((a, b))
+                taken[a:b] = bytes([1]) * (b - a)
     return found
 
 
@@ -183,7 +186,10 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
         strict = first in GIVEN_NAMES
         known, unknown = strict, first not in GIVEN_NAMES and second not in GIVEN_NAMES
         varied = 2 < len(second) < 15
-        if text[:a].rstrip(" ")[-1:] in ("", ".", "!", "?", "\n"):
+        before_it = a
+        while before_it and text[before_it - 1] == " ":
+            before_it -= 1
+        if text[max(0, before_it - 1) : before_it] in ("", ".", "!", "?", "\n"):
             unknown = unknown or not known
     return _vote(strict, not strict), _vote(known, unknown), before, after, _vote(varied, not varied)
 

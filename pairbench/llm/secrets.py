@@ -188,11 +188,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, text in enumerate(batch.column("text").to_pylist()):
             spans = base_spans(text)
             base.append([dict(zip(("start", "end", "kind"), s)) for s in spans])
-            taken = [s[:2] for s in spans]
-            first = len(places)
+            taken = _apart([s[:2] for s in spans])
+            first, near = len(places), 0
             for m in _TOKEN.finditer(text):
                 a, b = m.span()
-                if not m[0].isdigit() and all(b <= x or a >= y for x, y in taken):
+                # Both go on in the order of the text.
+                while near < len(taken) and taken[near][1] <= a:
+                    near += 1
+                if not m[0].isdigit() and (near == len(taken) or b <= taken[near][0]):
                     places.append((row, a, b))
                     tokens.append(m[0])
             aside = sorted([*taken, *((a, b) for _, a, b in places[first:])])

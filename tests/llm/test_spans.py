@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -179,3 +180,42 @@ def test_decoys_hold_no_candidate(monkeypatch):
     text, spans = seen[0]
     assert len(found) > 64 and all(any(a <= c["start"] and c["end"] <= b for a, b in spans) for c in found)
     assert seen[1][1] == []
+
+
+def test_looser_spans_overlap_nothing():
+    rng = random.Random(4)
+    parts = ["Anna Smith", "555-1234 567", "123-45-6789", "a(at)b.com", "x@y.org", "+1 202 555 0143", "192.168.0.1", "Peter Paul Mary", "-", ".", " met "]
+    for _ in range(300):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(12))).replace(" - ", "-")
+        base = pii.base_spans(text)
+        taken, want = [(a, b) for _, a, b in base], []
+        low = text.lower()
+        for kind, shape in pii.SHAPES.items():
+            if kind == "email_like" and "(at)" not in low:
+                continue
+            for m in shape.finditer(text):
+                if all(m.end() <= a or m.start() >= b for a, b in taken):
+                    want.append((kind, *m.span()))
+                    taken.append(m.span())
+        assert pii.candidates(text, base) == want
+
+
+def scanned(scan, text):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    return next(iter(scan(iter([batch])))).to_pylist()[0]
+
+
+def test_long_texts_of_many_spans_take_time_in_proportion():
+    def seconds(scan, text):
+        begun = time.process_time()
+        return scanned(scan, text), time.process_time() - begun
+
+    few, many = 5000, 100_000
+    names = lambda n: " ".join(f"Anna Smith{'abcdefghij'[i % 10]} met" for i in range(n))
+    keys = lambda n: " ".join(f"password=abcdef{i} Zk3{i}qLmN8vXw2RtY7uPq" for i in range(n))
+    for scan, text, column in ((pii._scan, names, "spans"), (secrets._scan, keys, "candidates")):
+        _, short = seconds(scan, text(few))
+        row, long = seconds(scan, text(many))
+        assert len(row[column]) == many
+        # Twenty times the spans; squares would be four hundred times.
+        assert long < 100 * max(short, 0.05)
