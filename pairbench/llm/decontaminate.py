@@ -49,11 +49,6 @@ PLACES, STEP, CANDIDATES = 1 << 18, 1 << 15, 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tables(recall: float, agree: float, samples: int) -> int:
-    """The least number of repetitions of bit sampling that reaches a recall; the search itself needs none."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree**samples))
-
-
 class Normal:
     """Normalised texts of an array, one after another, each ended by a zero byte."""
 

@@ -272,11 +272,6 @@ def test_contaminated_edges(spark, docs):
     assert decontaminate.contaminated(docs(rows), bench.limit(0)).count() == 0
 
 
-def test_tables_reach_the_recall():
-    n = decontaminate.tables(0.95, 0.6, 5)
-    assert 1 - (1 - 0.6**5) ** n >= 0.95 > 1 - (1 - 0.6**5) ** (n - 1)
-
-
 def test_normalised_texts():
     texts = pa.array([" Ab  c\n", "", "é\tD", "x"])
     normal = decontaminate.Normal(texts)
