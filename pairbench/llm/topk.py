@@ -15,8 +15,10 @@ with the query in its strongest coordinates (the rest of both is bounded by the
 Cauchy-Schwarz inequality); below, or where that does not help, length alone
 prunes. What is left is verified by exact integer products.
 
-Edge cases: vectors that are null, or hold null or non-finite components, take no
-part, neither do rows with a null id; vectors of another dimension than the
+Edge cases: vectors that are null or empty, or hold components that are null or, also
+when scaled, not finite take no part, neither do rows with a null id; components of any
+other size are exact, and scores beyond 64 bits count as the greatest or least number
+of 64 bits; vectors of another dimension than the
 query's are not compared; ties go to smaller ids; an id that stands several times
 is a candidate once per row; fewer candidates than k give fewer rows; an empty
 table gives none. Other columns are ignored.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbench.llm.common import stage
@@ -41,62 +43,102 @@ FIRST = 1
 #: Local cosine thresholds from here on make coordinate pruning worth its cost.
 COORDINATE = 0.7
 STRONGEST = 8
+#: Scores stay within 64 bits.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Classes of length for each doubling.
+FINE = 64
 
 
 def _blocks(limit: int):
-    """Cut sorted vectors into rows (dim, top, low, ids, vectors) of at most ``limit``."""
+    """Cut sorted vectors into rows (dim, top, ids, vectors) of at most ``limit``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["dim", "top", "ids", "vectors"]
 
-        def block(dim, held):
-            values = np.array([v for _, v in held], np.int64).reshape(len(held), dim)
-            top = float(np.sqrt((values.astype(np.float64) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
-            ids = np.array([i for i, _ in held], np.int64)
+        def block(held):
+            ids, values = (np.concatenate(part) for part in zip(*held))
+            top = float(_lengths(values).max()) * (1 + 1e-9)
             return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([top]), pa.array([ids.tobytes()], pa.binary()),
+                [pa.array([values.shape[1]], pa.int32()), pa.array([top]), pa.array([ids.tobytes()], pa.binary()),
                  pa.array([values.tobytes()], pa.binary())], names
             )
 
-        dim, held = None, []
+        held, size = [], 0
         for batch in batches:
-            for i, vector in zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist()):
-                if held and (len(vector) != dim or len(held) == limit):
-                    yield block(dim, held)
-                    held = []
-                dim = len(vector)
-                held.append((i, vector))
+            ids, lists = batch.column("id").to_numpy(), batch.column("vector")
+            flat, dims = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            place = np.append(0, np.cumsum(dims))
+            # Runs of vectors of one dimension.
+            edges = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(dims)] if len(dims) else []
+            for first, last in zip(edges, edges[1:]):
+                values = flat[place[first] : place[last]].reshape(last - first, dims[first])
+                if held and held[0][1].shape[1] != dims[first]:
+                    yield block(held)
+                    held, size = [], 0
+                at = 0
+                while at < len(values):
+                    end = min(at + limit - size, len(values))
+                    held.append((ids[first + at : first + end], values[at:end]))
+                    size += end - at
+                    at = end
+                    if size == limit:
+                        yield block(held)
+                        held, size = [], 0
         if held:
-            yield block(dim, held)
+            yield block(held)
 
     return rows
 
 
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((vectors**2).sum(axis=1))
+
+
 _BLOCK_SCHEMA = "dim int, top double, ids binary, vectors binary"
 
 
 def integers(vectors: DataFrame, id: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """Rows (id, vector, length) with components floor(scale * x); others are left out."""
-    x = F.col(vector)
-    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    rows = vectors.filter(x.isNotNull() & F.col(id).isNotNull() & finite & (F.size(x) > 0))
-    whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale))
-    length = F.aggregate("vector", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    return rows.select(F.col(id).cast("long").alias("id"), whole.alias("vector")).withColumn("length", length)
+    """Rows (id, vector, length) with components floor(scale * x), whole numbers in doubles; others are left out."""
+    scaled = F.transform(F.col(vector), lambda c: c.cast("double") * scale)
+    finite = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = vectors.select(F.col(id).cast("long").alias("id"), scaled.alias("vector"))
+    rows = rows.filter(F.col("vector").isNotNull() & F.col("id").isNotNull() & finite & (F.size("vector") > 0))
+    # A double from 2 ** 52 on is whole, and may be too large for floor.
+    whole = F.transform("vector", lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c))
+    length = F.aggregate("vector", F.lit(0.0), lambda a, c: a + c * c)
+    return rows.select("id", whole.alias("vector")).withColumn("length", length)
 
 
 def _load(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dim)
+    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
 
 
 def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products; by floating point where all sums are below 2 ** 53."""
-    most = np.abs(queries).max(initial=0) * float(np.abs(vectors).max(initial=0)) * queries.shape[1]
+    """Exact inner products, within the bounds of 64 bits; by floating point where all sums are below 2 ** 53."""
+    asked, held = (np.abs(v).max(axis=1, initial=0) for v in (queries, vectors))
+    dim = queries.shape[1]
+    most = float(asked.max(initial=0)) * float(held.max(initial=0)) * dim
     if most < 2.0**53:
-        return (queries.astype(np.float64) @ vectors.T.astype(np.float64)).astype(np.int64)
-    if most < 2.0**63:
-        return queries @ vectors.T
-    raise OverflowError("inner products do not fit 64 bits")
+        return (queries @ vectors.T).astype(np.int64)
+    if most < 2.0**62 and max(asked.max(), held.max()) < 2.0**62:
+        return queries.astype(np.int64) @ vectors.astype(np.int64).T
+    # Few vectors are so large: the others are multiplied among themselves.
+    limit = (2.0**61 / dim) ** 0.5
+    few, rest = asked < limit, held < limit
+    scores = np.empty((len(queries), len(vectors)), np.int64)
+    if few.any() and rest.any():
+        scores[np.ix_(few, rest)] = _products(queries[few], vectors[rest])
+    for rows, columns in ((~few, np.ones_like(rest)), (few, ~rest)):
+        if rows.any() and columns.any():
+            exact = _whole(queries[rows]) @ _whole(vectors[columns]).T
+            scores[np.ix_(rows, columns)] = np.clip(exact, LEAST, MOST).astype(np.int64)
+    return scores
+
+
+def _whole(values: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size."""
+    return np.frompyfunc(int, 1, 1)(values)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, keep: np.ndarray, k: int) -> np.ndarray:
@@ -117,6 +159,8 @@ def _search(k: int, bounded: bool):
                 asked, queries = _load(row["query_ids"], row["query_vectors"], row["dim"])
                 ids, vectors = _load(row["ids"], row["vectors"], row["dim"])
                 bounds = np.frombuffer(row["bounds"], np.float64) if bounded else np.full(len(asked), -np.inf)
+                # As doubles they may have been rounded up.
+                bounds = np.where(np.abs(bounds) < 2.0**53, bounds, np.nextafter(bounds, -np.inf))
                 found = list(_pair(asked, queries, bounds, ids, vectors, row["top"], k))
                 columns = list(zip(*found)) or [[]] * 3
                 yield pa.RecordBatch.from_arrays(
@@ -128,24 +172,27 @@ def _search(k: int, bounded: bool):
 
 
 def _pair(asked, queries, bounds, ids, vectors, top, k):
-    length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    own = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
+    length, own = _lengths(queries), _lengths(vectors)
     slack = 1 + 1e-9
-    # Length pruning of the whole bucket: the local threshold is above 1.
-    reach = length * top * slack
+    # Length pruning of the whole bucket: the local threshold is above 1. Lengths beyond doubles prune nothing.
+    with np.errstate(all="ignore"):
+        reach = np.nan_to_num(length * top * slack, nan=np.inf, posinf=np.inf)
     open_ = np.flatnonzero(reach >= bounds)
     if not len(open_):
         return
-    local = np.where(reach[open_] > 0, bounds[open_] / np.maximum(reach[open_], 1e-300), -np.inf)
+    known = (reach[open_] > 0) & (np.maximum(length[open_], top) < 1e150)  # squares are doubles
+    local = np.where(known, bounds[open_] / np.maximum(reach[open_], 1e-300), -np.inf)
     sharp, flat = open_[local >= COORDINATE], open_[local < COORDINATE]
     for q in sharp:
         # The strongest coordinates exactly, what is left by its length.
         strong = np.argsort(-np.abs(queries[q]), kind="stable")[:STRONGEST]
-        part = vectors[:, strong].astype(np.float64)
-        head = part @ queries[q, strong].astype(np.float64)
-        rest = np.sqrt(np.maximum(own**2 - (part**2).sum(axis=1), 0) + 1e-6)
-        tail = np.sqrt(max(length[q] ** 2 - float((queries[q, strong].astype(np.float64) ** 2).sum()), 0) + 1e-6)
-        left = np.flatnonzero((head + rest * tail * slack + 1e-3 >= bounds[q]) & (own * length[q] * slack >= bounds[q]))
+        part = vectors[:, strong]
+        head = part @ queries[q, strong]
+        rest = np.sqrt(np.maximum(own**2 - (part**2).sum(axis=1), 0) + 1e-6 + 1e-12 * own**2)
+        whole = length[q] ** 2
+        tail = np.sqrt(max(whole - float((queries[q, strong] ** 2).sum()), 0) + 1e-6 + 1e-12 * whole)
+        above = head + rest * tail * slack + 1e-3 + 1e-9 * own * length[q] >= bounds[q]
+        left = np.flatnonzero(above & (own * length[q] * slack >= bounds[q]))
         if len(left):
             scores = _products(queries[q : q + 1], vectors[left])[0]
             yield from _rows(asked[q], scores, ids[left], bounds[q], k)
@@ -161,13 +208,23 @@ def _rows(query, scores, ids, bound, k):
         yield np.full(len(at), query), ids[at], scores[at]
 
 
+#: Below all classes of length.
+NONE = -100_000
+
+
+def _length_class(length: Column) -> Column:
+    """Classes of length, ``FINE`` for each doubling, so at most some hundred thousand; the last one for lengths beyond doubles."""
+    return F.when(length > 0, F.floor(F.log2(F.least(length, F.lit(1e308))) * FINE).cast("int")).otherwise(NONE)
+
+
 def numbered(buckets: DataFrame) -> DataFrame:
     """Staged buckets with their number by length within each dimension; vectors stay out of the window and its shuffle."""
     key = ["file", "row"]
     place = buckets.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     order = Window.partitionBy("dim").orderBy(F.desc("top"), *key)
     numbers = stage(place.select("dim", "top", *key).withColumn("bucket", F.row_number().over(order) - 1).drop("dim", "top"))
-    return place.join(F.broadcast(numbers), key).drop(*key)
+    # Small enough lists are broadcast by their measured size.
+    return place.join(numbers, key).drop(*key)
 
 
 def top_products(
@@ -205,10 +262,15 @@ def top_products(
         .select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
     )
     bounded = _with_bounds(queries, bounds)
-    # Longest vectors first: the buckets that a block can need are a leading run, counted on the bounded list of tops.
-    tops = buckets.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("bucket", "top"))).alias("tops"))
-    needed = F.size(F.filter("tops", lambda t: t.top * F.col("query_top") >= F.col("least")))
-    runs = bounded.join(F.broadcast(tops), "dim").withColumn("bucket", F.explode(F.sequence(F.lit(0), needed)))
+    # Longest vectors first: the buckets that a block can need are a leading run. Its length is counted on classes
+    # of length, whose number does not grow with the vectors.
+    classes = buckets.groupBy("dim", _length_class(F.col("top")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    tops = classes.groupBy("dim").agg(F.collect_list(F.struct("class", "n")).alias("tops"))
+    cut = F.when(F.col("least") > 0, _length_class(F.try_divide("least", "query_top")) - 1).otherwise(NONE)
+    needed = F.aggregate("tops", F.lit(0).cast("long"), lambda a, t: a + F.when(t["class"] >= F.col("cut"), t.n).otherwise(0))
+    runs = bounded.join(F.broadcast(tops), "dim").withColumn("cut", F.coalesce(cut, F.lit(NONE)))
+    runs = runs.withColumn("needed", needed).filter("needed > 0")
+    runs = runs.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("needed") - 1))).drop("needed", "cut")
     pairs = runs.drop("tops").join(buckets, ["dim", "bucket"]).select(*pair, "bounds")
     found = pairs.mapInArrow(_search(k, True), result)
     best = found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)

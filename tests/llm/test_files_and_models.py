@@ -304,6 +304,25 @@ def test_top_products(spark, monkeypatch, bucket, spread):
     assert {tuple(r) for r in found} == want
 
 
+@pytest.mark.parametrize("bucket", [2048, 5])
+def test_large_components(spark, monkeypatch, bucket):
+    monkeypatch.setattr(topk, "BUCKET", bucket)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=(80, 4)) * 10.0 ** rng.integers(-3, 13, size=(80, 1))
+    values[:8] = [[1e30, 0, 0, 1], [-1e30, 2, 0, 0], [0, 0, 0, 1e-9], [0, 0, -1e-9, 0], [1e300, 1, 0, 0], [1e18, 1e18, -1e18, 3.7], [1e15, 1e-3, 0, 0], [0, 0, 0, 0]]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(values)] + [(81, [1.7e308, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_products(table, every=4, k=6).collect()
+    whole = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in rows[:-1]}
+    want = set()
+    for q in range(0, 80, 4):
+        score = lambda i: min(max(sum(a * b for a, b in zip(whole[q], whole[i])), -(1 << 63)), (1 << 63) - 1)
+        best = sorted((-score(i), i) for i in whole if i != q)[:6]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in found} == want
+
+
 def test_few_candidates(spark):
     rows = [(0, [1.0, -1.0], None), (1, [0.5, 0.5], None), (3, [1.0], None)]
     found = topk.top_products(spark.createDataFrame(rows, VECTORS)).collect()
