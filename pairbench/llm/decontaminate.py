@@ -1,17 +1,28 @@
-"""Benchmark decontamination: error-bounded pieces find candidates, exact edit verification decides.
+"""Benchmark decontamination: random walks and sampled steps find candidates, exact edit verification decides.
 
 Texts are normalised (ASCII letters in lower case, white space runs as one
-space). An item with k allowed edits is cut into k // 2 + 1 pieces of about equal
-size, words or not. Wherever a text holds the item within k edits, one piece has
+space). From every place of a text or an item a CGK walk starts: at each of ``STEPS``
+steps it notes the byte it stands on, and a random bit of (step, byte) says whether
+it goes on to the next byte. Two places that begin alike are walked alike, and after
+an edit walks fall into step again by chance, so few edits become few steps that
+differ. LSH keys are sums over ``SAMPLES`` sampled steps, in ``TABLES`` tables; the two
+bytes at a place pick one of ``WALKS`` walks. A walk covers about ten bytes, since its
+differing steps grow with the square of the edits it meets; an item of n bytes is
+covered by n such walks, each a chance for every copy, and the window around a shared
+key that is then opened has the item's size. The number of repetitions is set by the
+recall measured at the limit of ``EDITS``, for items of ``WALKED`` bytes on.
+
+Shorter items have too few walks for that and are found by pieces without loss: an
+item with k allowed edits is cut into k // 2 + 1 pieces of about equal size. Wherever a text holds the item within k edits, one piece has
 at most one edit there (were there two in each, they would be more than k). A
 piece of ``width`` + 1 bytes with at most one edit shares ``width`` of them with
 the text: in a run, or with one byte of the text skipped, so ``width`` looks at
 each place of a text find all of them. The same count holds for groups of pieces:
 of all groups that are within twice their pieces less one edits, some hold a piece
-with at most one, so a candidate goes on only while the groups of ``GROUPS`` pieces
-around it are that close. Neither step can lose an item, whatever its length,
-script or edits. The exact edit distance of the whole item to the best substring
-of the places that are left decides.
+with at most one, so a candidate, of either kind, goes on only while the groups of
+``GROUPS`` pieces around it are that close. The exact edit distance of the whole item
+to the best substring of the places that are left decides; it takes time in
+proportion to both lengths.
 
 The documents are read once, without a shuffle. Items go to all tasks in blocks
 of bounded size (``BLOCK_BYTES`` of text); a larger benchmark means more passes,
@@ -39,6 +50,10 @@ from pairbench.llm.common import _LOW_BYTES, Words, code_points, slices, text_of
 
 #: Edits allowed, in percent of the item's bytes: similarity of 0.8 or more.
 EDITS = 20
+#: Items of at least this many bytes are found by walks, shorter ones by pieces.
+WALKED = 64
+#: Steps of a walk, sampled steps of a key, keys of a walk, and different walks.
+STEPS, SAMPLES, TABLES, WALKS = 20, 13, 4, 4
 #: Bytes of a piece that are looked up.
 WIDTH = 8
 #: Pieces in the groups that must be close around a candidate.
@@ -88,6 +103,50 @@ class Look:
     first: np.ndarray
 
 
+@dataclass
+class Walk:
+    """Random numbers of a walk: what each step adds to a key and how far it goes, by byte; the keys that sample a step."""
+
+    values: np.ndarray
+    moves: np.ndarray
+    samples: list[list[int]]
+
+    def keys(self, data: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The keys of the walks from places on, and the places where they end."""
+        place = start.copy()
+        keys = [np.zeros(len(start), np.uint64) for _ in range(TABLES)]
+        for value, move, sampled in zip(self.values, self.moves, self.samples):
+            symbol = data.take(place)
+            if sampled:
+                added = value.take(symbol)
+                for number in sampled:
+                    keys[number] += added
+            place += move.take(symbol)
+        return keys, place
+
+
+def _walks() -> tuple[list[Walk], np.ndarray]:
+    """All walks, and the number of the walk that a pair of bytes picks."""
+    rng = np.random.default_rng(5)
+    walks = []
+    for _ in range(WALKS):
+        values = rng.integers(0, 1 << 64, (STEPS, 256), np.uint64)
+        moves = rng.integers(0, 2, (STEPS, 256)).astype(np.intp)
+        tables = [set(rng.choice(STEPS, SAMPLES, replace=False).tolist()) for _ in range(TABLES)]
+        walks.append(Walk(values, moves, [[t for t in range(TABLES) if step in tables[t]] for step in range(STEPS)]))
+    return walks, rng.integers(0, WALKS, 1 << 16).astype(np.int8)
+
+
+@dataclass
+class Table:
+    """Keys of the items' walks in one table; those of key number k are ``pieces[first[k]:first[k + 1]]`` of the index."""
+
+    walk: int
+    number: int
+    keys: np.ndarray
+    first: np.ndarray
+
+
 @dataclass
 class Index:
     """A block of items and their pieces: item, place in it, and the groups around (place in ``data``, size, edits)."""
@@ -100,7 +159,13 @@ class Index:
     offset: np.ndarray
     groups: list[np.ndarray]
     looks: list[Look]
+    walks: list[Walk]
+    #: The walk that a pair of bytes picks.
+    picked: np.ndarray
+    tables: list[Table]
+    #: Pieces of keys, and how far after the start of the piece the key's bytes begin.
     pieces: np.ndarray
+    shift: np.ndarray
     #: Items of so many allowed edits that no piece of two bytes is left: tried on every text.
     loose: list[int]
     pad: int
@@ -147,8 +212,10 @@ def index(ids: list, texts: list[str], percent: int = EDITS) -> Index:
     words = _words(np.concatenate([normal.data, np.zeros(WIDTH + 16, np.uint8)]))
     looks, pieces = [], [np.empty(0, np.int64)]
     known = 0
-    for size in np.unique(width).tolist():
-        own, some = np.flatnonzero(width == size), np.flatnonzero((width == size) & (edited > 0))
+    short = np.diff(normal.bounds)[item] <= WALKED
+    for size in np.unique(width[short]).tolist():
+        own = np.flatnonzero((width == size) & short)
+        some = own[edited[own] > 0]
         last = _keys(words, size, size, begin[own])
         for skip in range(1, size + 1):
             # In a run: without any one byte of the piece. With a byte skipped: it is another one, or one too many.
@@ -164,13 +231,50 @@ def index(ids: list, texts: list[str], percent: int = EDITS) -> Index:
                 looks.append(Look(size, skip, keys, np.append(first, len(pairs)) + known))
                 pieces.append(pairs["piece"].copy())
                 known += len(pairs)
+    shift = [np.zeros(known, np.int64)]
+    walks, picked = _walks()
+    tables = _tables(normal, begin, np.flatnonzero(~short), walks, picked, pieces, shift)
     groups = [table[:, 4 + 3 * g : 7 + 3 * g].copy() for g in range(len(GROUPS))]
-    pad = max([int(g[:, 1].max() + 2 * g[:, 2].max()) for g in groups if len(g)], default=0) + 2 * WIDTH
+    pad = max([int(g[:, 1].max() + 2 * g[:, 2].max()) for g in groups if len(g)], default=0) + 2 * WIDTH + STEPS
+    pieces, shift = (np.concatenate(c).astype(np.int32) for c in (pieces, shift))
+    places = item.copy(), offset.copy()
     return Index(
-        ids, plain, normal.data, begin, item.copy(), offset.copy(), groups, looks, np.concatenate(pieces), loose, pad
+        ids, plain, normal.data, begin, *places, groups, looks, walks, picked, tables, pieces, shift, loose, pad
     )
 
 
+def _tables(
+    normal: Normal, begin: np.ndarray, long: np.ndarray, walks: list, picked: np.ndarray, pieces: list, shift: list
+) -> list[Table]:
+    """Keys of the walks from all places of the items that have the pieces ``long``; adds their pieces and shifts."""
+    if not len(long):
+        return []
+    ends = normal.bounds[1:] - 1
+    owner = np.repeat(np.arange(len(ends)), np.diff(normal.bounds))
+    place = np.arange(len(owner))
+    # Pieces follow one another in an item, so that of a place is the last to begin before it.
+    at = np.maximum(np.searchsorted(begin[long], place, side="right") - 1, 0)
+    piece = long[at]
+    inside = (np.diff(normal.bounds)[owner] > WALKED) & (place < ends[owner])
+    data = np.concatenate([normal.data, np.zeros(STEPS + 1, np.uint8)]).astype(np.intp)
+    picks = picked[data[place] << 8 | data[place + 1]]
+    found = []
+    known = sum(map(len, pieces))
+    for number, walk in enumerate(walks):
+        start = np.flatnonzero(inside & (picks == number))
+        keys, last = walk.keys(data, start)
+        whole = last <= ends[owner[start]]
+        for table, key in enumerate(keys):
+            order = np.flatnonzero(whole)[np.argsort(key[whole], kind="stable")]
+            values, first = np.unique(key[order], return_index=True)
+            if len(values):
+                found.append(Table(number, table, values, np.append(first, len(order)) + known))
+                pieces.append(piece[start[order]])
+                shift.append(start[order] - begin[piece[start[order]]])
+                known += len(order)
+    return found
+
+
 def best_match(item: bytes, text: bytes) -> tuple[int, int]:
     """Least edit distance of the item to a substring of the text, and where the first such ends.
 
@@ -214,7 +318,7 @@ def _find(block: Index, percent: int):
     """Rows (doc_id, item_id, edits, start, finish) for the items of a block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [_filter_bits(look.keys) for look in block.looks]
+        filters = [_filter_bits(known.keys) for known in block.looks + block.tables]
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = _matches(batch.column("text"), block, filters, percent)
@@ -228,21 +332,38 @@ def _find(block: Index, percent: int):
     return rows
 
 
+def _known(keys: np.ndarray, place: np.ndarray | None, at: int, known: Look | Table, bits: tuple) -> tuple:
+    """Of keys at places (or at all in order), those that items have: place counted from ``at``, first, length."""
+    seen, shift = bits
+    some = np.flatnonzero(seen[((keys * _ODD) >> shift).view(np.int64)])
+    key = keys[some]
+    slot = np.minimum(np.searchsorted(known.keys, key), len(known.keys) - 1)
+    hit = known.keys[slot] == key
+    some, slot = some[hit], slot[hit]
+    return (some if place is None else place[some]) + at, known.first[slot], known.first[slot + 1] - known.first[slot]
+
+
 def _candidates(data: np.ndarray, size: int, block: Index, filters: list) -> Iterator[tuple]:
-    """Arrays (place in the texts, first, length): pieces that may stand there with at most one edit."""
+    """Arrays (place in the texts, first, length): what an item holds that may stand there with few edits."""
+    tables = defaultdict(list)
+    for table, bits in zip(block.tables, filters[len(block.looks) :]):
+        tables[table.walk].append((table, bits))
     for start in range(0, size, PLACES):
         found = []
         # One word more than places.
-        words = _words(data[block.pad + start : block.pad + min(start + PLACES, size) + 9])
-        for look, (seen, shift) in zip(block.looks, filters):
+        words = _words(data[block.pad + start : block.pad + min(start + PLACES, size) + 9]) if block.looks else None
+        for look, bits in zip(block.looks, filters):
             for at in range(0, len(words) - 1, STEP):
                 keys = _keys(words[at : at + STEP + 1], look.width, look.skip)
-                place = np.flatnonzero(seen[((keys * _ODD) >> shift).view(np.int64)])
-                key = keys[place]
-                slot = np.minimum(np.searchsorted(look.keys, key), len(look.keys) - 1)
-                hit = look.keys[slot] == key
-                slot = slot[hit]
-                found.append((place[hit] + (start + at), look.first[slot], look.first[slot + 1] - look.first[slot]))
+                found.append(_known(keys, None, start + at, look, bits))
+        for at in range(start, min(start + PLACES, size) if tables else start, STEP):
+            count = min(STEP, size - at)
+            symbols = data[block.pad + at : block.pad + at + count + STEPS + 1].astype(np.intp)
+            picks = block.picked[symbols[:count] << 8 | symbols[1 : count + 1]]
+            for number, own in tables.items():
+                place = np.flatnonzero(picks == number)
+                keys, _ = block.walks[number].keys(symbols, place)
+                found += [_known(keys[table.number], place, at, table, bits) for table, bits in own]
         if found:
             yield tuple(np.concatenate(c) for c in zip(*found))
 
@@ -277,8 +398,8 @@ def _close(data: np.ndarray, start: np.ndarray, items: np.ndarray, group: np.nda
     return left[best <= edits[left]]
 
 
-def _places(data: np.ndarray, size: int, block: Index, filters: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays (place in the texts, piece) of candidates whose groups are close."""
+def _places(data: np.ndarray, size: int, block: Index, filters: list) -> Iterator[tuple]:
+    """Arrays (where a piece begins in the texts, a place inside it, piece) of candidates whose groups are close."""
     for place, first, length in _candidates(data, size, block, filters):
         total = np.cumsum(length)
         a = 0
@@ -287,15 +408,19 @@ def _places(data: np.ndarray, size: int, block: Index, filters: list) -> Iterato
             b = max(int(np.searchsorted(total, before + CANDIDATES, side="right")), a + 1)
             many = length[a:b]
             inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            piece, at = block.pieces[np.repeat(first[a:b], many) + inner], np.repeat(place[a:b], many)
+            entry, spot = np.repeat(first[a:b], many) + inner, np.repeat(place[a:b], many)
+            piece, at = block.pieces[entry].astype(np.int64), spot - block.shift[entry]
             a = b
+            # Walks of one copy find each of its pieces many times.
+            _, once = np.unique((at + block.pad) * len(block.item) + piece, return_index=True)
+            at, spot, piece = at[once], spot[once], piece[once]
             for group in block.groups:
                 if len(at):
                     own = group[piece]
                     near = _close(data, block.pad + at - (block.begin[piece] - own[:, 0]), block.data, own)
-                    at, piece = at[near], piece[near]
+                    at, spot, piece = at[near], spot[near], piece[near]
             if len(at):
-                yield at, piece
+                yield at, spot, piece
 
 
 def _matches(texts, block, filters, percent) -> dict:
@@ -304,8 +429,8 @@ def _matches(texts, block, filters, percent) -> dict:
     data = np.zeros(size + 2 * block.pad + 16, np.uint8)
     data[block.pad : block.pad + size] = normal.data
     tries = {(text, item, 0, None) for item in block.loose for text in range(len(texts))}
-    for at, piece in _places(data, size, block, filters):
-        text = np.searchsorted(normal.bounds, at, side="right") - 1
+    for at, spot, piece in _places(data, size, block, filters):
+        text = np.searchsorted(normal.bounds, spot, side="right") - 1
         item = block.item[piece]
         tries.update(zip(text.tolist(), item.tolist(), (at - block.offset[piece]).tolist(), [True] * len(at)))
     spans = defaultdict(list)

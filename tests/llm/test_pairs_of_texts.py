@@ -250,6 +250,47 @@ def test_every_item_within_the_allowed_edits_is_found(spark, docs, size):
     assert len(want) > 20 and {n: found[n, n] for n in range(len(items)) if (n, n) in found} == want
 
 
+@pytest.mark.parametrize("size", [64, 81, 150, 400])
+@pytest.mark.parametrize("share", [0, 10, 15, 20])
+def test_walks_reach_their_recall(size, share):
+    """All pairs of items and texts against exact distances; walks alone find long items."""
+    rng = random.Random(100 * size + share)
+    items = [prose(rng, 3 * size)[: size - 1] + "x" for _ in range(30)]
+    texts = []
+    for a, b in zip(items, items[1:] + items[:1]):
+        edited = []
+        for item in (a, b):
+            letters = list(item)
+            for _ in range(size * share // 100):
+                at = rng.randrange(len(letters))
+                letters[at : at + 1] = rng.choice([[], ["q"], [letters[at], "z"]])
+            edited.append("".join(letters))
+        texts.append(f"{prose(rng, 30)} {edited[0]} {prose(rng, 200)} {edited[1]}")
+    block = decontaminate.index(list(range(30)), items)
+    assert not block.looks and len(block.tables) == decontaminate.WALKS * decontaminate.TABLES
+    found = decontaminate._matches(pa.array(texts), block, [decontaminate._filter_bits(t.keys) for t in block.tables], 20)
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(block.texts):
+            edits, _ = decontaminate.best_match(item, " ".join(text.split()).encode())
+            if edits <= len(item) // 5:
+                want[d, i] = edits
+    assert len(want) >= 50 and set(found) <= set(want)
+    assert len(found) >= 0.95 * len(want)
+    assert {pair: best[0] for pair, best in found.items()} == {pair: want[pair] for pair in found}
+
+
+def test_walks_of_plain_texts(spark, docs):
+    """Repeated bytes, an item at either end of a text, equal items, and items longer than texts."""
+    item = "ab" * 50
+    long = prose(random.Random(2), 500)
+    items = [item, "x" * 90, long, long]
+    texts = [item, "x" * 400, long, "y " + long, long + " y", long[:100], "", "x" * 80]
+    assert found_pairs(spark, docs, items, texts) == {
+        (0, 0): 0, (1, 1): 0, (7, 1): 10, **{(d, i): 0 for d in (2, 3, 4) for i in (2, 3)}
+    }
+
+
 def test_items_within_running_text_are_found(spark, docs):
     item = "\u6625\u7720\u4e0d\u89ba\u6653\u8655\u8655\u805e\u557c\u9ce5\u591c\u4f86\u98a8\u96e8\u8072\u82b1\u843d\u77e5\u591a\u5c11"
     quoted = "quotation marks may touch either side of this sentence"
