@@ -53,7 +53,7 @@ EDITS = 20
 #: Items of at least this many bytes are found by walks, shorter ones by pieces.
 WALKED = 64
 #: Steps of a walk, sampled steps of a key, keys of a walk, and different walks.
-STEPS, SAMPLES, TABLES, WALKS = 20, 13, 4, 4
+STEPS, SAMPLES, TABLES, WALKS = 16, 12, 3, 4
 #: Bytes of a piece that are looked up.
 WIDTH = 8
 #: Pieces in the groups that must be close around a candidate.
@@ -131,7 +131,9 @@ def _walks() -> tuple[list[Walk], np.ndarray]:
     walks = []
     for _ in range(WALKS):
         values = rng.integers(0, 1 << 64, (STEPS, 256), np.uint64)
-        moves = rng.integers(0, 2, (STEPS, 256)).astype(np.intp)
+        # Opposite bits in pairs of steps: no walk rests on a byte for long.
+        moves = rng.integers(0, 2, (STEPS // 2, 256)).astype(np.intp)
+        moves = np.stack([moves, 1 - moves], axis=1).reshape(STEPS, 256)
         tables = [set(rng.choice(STEPS, SAMPLES, replace=False).tolist()) for _ in range(TABLES)]
         walks.append(Walk(values, moves, [[t for t in range(TABLES) if step in tables[t]] for step in range(STEPS)]))
     return walks, rng.integers(0, WALKS, 1 << 16).astype(np.int8)
