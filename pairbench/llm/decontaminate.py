@@ -58,7 +58,8 @@ STEPS, SAMPLES, TABLES, WALKS = 16, 12, 3, 4
 WIDTH = 8
 #: Pieces in the groups that must be close around a candidate.
 GROUPS = (2, 4)
-BLOCK_BYTES = 4 << 20
+#: Text of a block of items; its keys and filters take a few hundred bytes of a worker for each byte.
+BLOCK_BYTES = 1 << 20
 #: Places of a text, and candidates, that are worked on at once.
 PLACES, STEP, CANDIDATES = 1 << 18, 1 << 15, 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
