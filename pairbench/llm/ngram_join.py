@@ -11,10 +11,12 @@ representatives go on. Then, for a threshold t:
    signatures; sets that share too few for a link in their band are left out.
 2. *Groups.* Of each shared signature, the set that shares most is the leader. A
    set is compared with its leaders, exactly, and joins the group of the leader
-   that it shares most signatures with. Groups are cut into bounded pieces.
+   that it shares most signatures with. Groups are cut into bounded pieces: those
+   of one component are a unit, however many, and the small components of a group
+   are dealt out to units of one piece.
 3. *Token-group matrix.* Each piece stores the union of its members' shingles.
-   Where pieces share as many signatures as a link demands and hold several
-   components, the members of one are queries to the other: a query's overlap with the union bounds its
+   Where units are of one group, or share as many signatures as a link demands, and hold
+   several components, the members of one are queries to the other: a query's overlap with the union bounds its
    overlap with every member. Only pieces whose bound reaches what t demands are opened, and their
    members are compared exactly.
 
@@ -349,45 +351,75 @@ def _links(source: DataFrame, entries: DataFrame, words: int, percent: int) -> D
     led = placed.groupBy("sign").agg((-F.max(F.struct("weight", (-F.col("rep")).alias("rep")))["rep"]).alias("leader"))
     pairs = entries.join(led, "sign").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("signs"))
     best = pairs.groupBy("rep").agg((-F.max(F.struct("signs", (-F.col("leader")).alias("rep")))["rep"]).alias("leader"))
-    # Groups, cut by a hash into pieces.
-    many = best.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-    cut = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / PIECE)).cast("int")
-    pieces = stage(best.join(many, "leader").select("rep", "leader", cut.alias("cut")))
+    groups = stage(best.select("rep", "leader"))
 
-    chosen = source.join(_few(pieces.select(F.col("rep").alias("id"))), "id", "left_semi")
+    chosen = source.join(_few(groups.select(F.col("rep").alias("id"))), "id", "left_semi")
     held = stage(chosen.mapInArrow(_set_rows(words), "id long, shingles binary"))
 
     # Each set against its leader.
-    followers = pieces.filter("rep <> leader").select("leader", F.lit(0).alias("cut"), "rep", F.col("rep").alias("component"))
+    followers = groups.filter("rep <> leader").select("leader", F.lit(0).alias("cut"), "rep", F.col("rep").alias("component"))
     leaders = followers.select("leader", "cut", F.col("leader").alias("rep"), F.col("leader").alias("component")).distinct()
     first = stage(_meet(leaders, followers, held, percent))
 
     # Sets against pieces that hold members of other components.
     merged = components(first).withColumnRenamed("node", "rep")
-    everyone = stage(pieces.join(merged, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    at = entries.join(everyone, "rep")
+    everyone = groups.join(merged, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    at = entries.join(stage(_cut(everyone)), "rep")
     several = at.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     at = stage(at.join(several.filter("low <> high").select("sign"), "sign"))
     members = stage(at.select("leader", "cut", "rep", "component").distinct())
-    # Pieces that share as many signatures as a link of any of their members needs, each pair once; then
-    # the members of one are queries to the other.
-    piece = F.struct("leader", "cut")
-    held_by = at.groupBy("sign", "band", piece.alias("piece")).agg(
+    unit = F.struct("leader", "cut.own", "cut.unit")
+    spans = members.groupBy("leader", "cut").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    spans = spans.withColumn("target", unit).withColumnsRenamed({"leader": "to_leader", "cut": "to_cut"})
+    queries = stage(
+        members.select(unit.alias("piece"), "rep", "component").join(_meetings(at).join(spans, "target"), "piece")
+        .filter("low <> component OR high <> component")
+        .select(F.col("to_leader").alias("leader"), F.col("to_cut").alias("cut"), "rep", "component")
+    )
+    return first.unionAll(_meet(members, queries, held, percent))
+
+
+def _cut(everyone: DataFrame) -> DataFrame:
+    """``everyone`` (rep, leader, component) with ``cut``, the piece of the group that a set is in.
+
+    A component with ``PIECE`` sets in a group is a unit of its own, cut by a hash; smaller ones are dealt
+    out whole to units of one piece. So what a large component meets does not grow with its pieces.
+    """
+    sizes = everyone.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("n"))
+    rest = sizes.filter(F.col("n") < PIECE).groupBy("leader").agg(F.sum("n").alias("rest"))
+    own = F.col("n") >= PIECE
+    dealt = F.pmod(F.xxhash64("component"), F.ceil(F.col("rest") / PIECE))
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / PIECE))
+    cut = F.struct(
+        own.alias("own"), F.when(own, F.col("component")).otherwise(dealt).alias("unit"),
+        F.when(own, part).otherwise(0).alias("part"),
+    )
+    placed = everyone.join(sizes, ["leader", "component"]).join(rest, "leader", "left")
+    return placed.select("rep", "leader", "component", cut.alias("cut"))
+
+
+def _meetings(at: DataFrame) -> DataFrame:
+    """Pairs (piece, target) of units whose sets may link across components, each pair once.
+
+    Units of a group have its signatures in common, so all of them meet. Those of different groups meet if
+    they share as many signatures as a link of any of their sets needs.
+    """
+    held_by = at.groupBy("sign", "band", F.struct("leader", "cut.own", "cut.unit").alias("piece")).agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("need").alias("need")
     )
     least = held_by.groupBy("piece", "band").agg(F.min("need").alias("least"))
     held_by = stage(held_by.drop("need").join(least, ["piece", "band"]))
-    other = held_by.withColumnsRenamed({"piece": "target", "low": "target_low", "high": "target_high", "least": "target_least"})
-    met = (
-        held_by.join(other.drop("band"), "sign")
-        .filter("piece >= target AND (low <> high OR low <> target_low OR low <> target_high)")
+
+    def targets(rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed({"piece": "target", "low": "target_low", "high": "target_high", "least": "target_least"})
+
+    apart = "(low <> high OR low <> target_low OR low <> target_high)"
+    units = stage(held_by.groupBy("piece").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumn("leader", F.col("piece.leader")))
+    within = units.join(targets(units), "leader").filter(f"piece >= target AND {apart}").select("piece", "target")
+    across = (
+        held_by.join(targets(held_by).drop("band"), "sign")
+        .filter(f"piece.leader > target.leader AND {apart}")
         .groupBy("piece", "target", "band").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("least", "target_least")).alias("need"))
-        .filter("n >= need OR piece = target").select("piece", "target").distinct()
+        .filter("n >= need").select("piece", "target").distinct()
     )
-    spans = members.groupBy(piece.alias("target")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    queries = stage(
-        members.select(piece.alias("piece"), "rep", "component").join(met.join(spans, "target"), "piece")
-        .filter("low <> component OR high <> component")
-        .select("target.leader", "target.cut", "rep", "component")
-    )
-    return first.unionAll(_meet(members, queries, held, percent))
+    return within.unionAll(across)

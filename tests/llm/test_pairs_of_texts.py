@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pairbench.llm import decontaminate, ngram_join, suffix_dedup
 from pairbench.llm.graph import components
@@ -70,6 +71,36 @@ def test_similar_components_with_small_pieces(docs, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 3, 80)
 
 
+def test_pieces_of_one_component_meet_others_once(spark):
+    # 2000 sets of one component and 100 that link with nothing, all with the same 30 signatures.
+    everyone = spark.range(2100).selectExpr("id AS rep", "0L AS leader", "CASE WHEN id < 2000 THEN 0 ELSE id END AS component")
+    placed = ngram_join._cut(everyone)
+    at = placed.crossJoin(spark.range(30).selectExpr("id AS sign", "3 AS band", "5 AS need"))
+    met = ngram_join._meetings(at).collect()
+    units = {u for r in met for u in (r.piece, r.target)}
+    mixed = {u for u in units if not u.own}
+    assert 1 <= len(mixed) <= 2 and len(units) == len(mixed) + 1
+    # Every two units, and each mixed one with itself.
+    assert len(met) == len(set(met)) == len(units) * (len(units) + 1) // 2 - 1
+    parts = placed.groupBy("cut").agg(F.countDistinct("component").alias("components"), F.count("rep").alias("sets")).collect()
+    assert all(r.components == 1 for r in parts if r.cut.own) and max(r.sets for r in parts) < 3 * ngram_join.PIECE
+
+
+def test_components_around_a_large_one(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIECE", 8)
+    rng = random.Random(7)
+    base = words_of(rng, 120)
+    rows = []
+    for n in range(160):
+        text = list(base)
+        for _ in range(rng.choice([1, 2, 5, 8, 12])):
+            text[rng.randrange(len(text))] = "x%d" % rng.randrange(40)
+        rows.append((n, " ".join(text)))
+    found = ngram_join.similar_components(docs(rows), words=5, percent=80).collect()
+    want = brute_components(rows, 5, 80)
+    assert len({c for _, c in want.values()}) > 20 and {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+
+
 def test_similar_components_edges(docs):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (2, "a b c d"), (9, None), (9, None)]
     found = ngram_join.similar_components(docs(rows), words=3, percent=90).collect()
