@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,13 +93,14 @@ def tokenizer_count(load: Callable[[], Callable[[str], Sequence]]) -> Callable[[
     """Token count by a tokenizer of the user's.
 
     ``load`` is called once for each Python worker task and returns a function
-    from a text to its tokens. Texts travel in Arrow batches.
+    from a text to its tokens. Texts travel in Arrow batches and become Python
+    strings one at a time; ``session.bound_batches`` bounds the batches.
     """
 
-    @F.pandas_udf("int")
-    def count_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("int")
+    def count_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = load()
         for texts in batches:
-            yield texts.map(lambda s: None if s is None else len(encode(s))).astype("Int32")
+            yield pa.array([len(encode(t.as_py())) if t.is_valid else None for t in texts], pa.int32())
 
     return count_tokens

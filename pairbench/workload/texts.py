@@ -15,6 +15,7 @@ from pairbench.constants import (
 from pairbench.functions import text as X
 from pairbench.operators import notes, tables
 from pairbench.plans import jobs
+from pairbench.session import bound_batches
 from pairbench.sources import testbed
 from pairbench.sources.files import stage
 from pairbench.workload import inputs
@@ -125,7 +126,7 @@ def token_count_tokenizer(spark, folder):
         return re.compile("[^ \n]+").findall
 
     count = X.tokenizer_count(load)
-    return testbed.table(spark, folder, "documents").select("doc_id", count(F.col("text")).alias("n_tokens"))
+    return testbed.table(bound_batches(spark), folder, "documents").select("doc_id", count(F.col("text")).alias("n_tokens"))
 
 
 @query(

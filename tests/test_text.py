@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pairbench.constants import ED_COURSE, INITIAL_ASSESSMENT, NOT_EXTRACTED, PHYSICAL_EXAM, CHIEF_COMPLAINT
 from pairbench.functions import text as X
 from pairbench.operators import notes
@@ -94,6 +95,22 @@ def test_tokenizer_of_the_user(spark):
     assert apply(spark, ["a-b-c", "", None], count(F.col("t"))) == [(3,), (1,), (None,)]
 
 
+def test_tokenizer_gets_bounded_batches(spark, tmp_path):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        texts = spark.range(3000).selectExpr("id AS doc_id", "repeat('ab ', 4 * cast(id AS int)) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+        texts.write.parquet(str(tmp_path / "documents.parquet"))
+        found = entry.queries()["token_count_tokenizer"](spark, str(tmp_path))
+        assert all(r.n_tokens == 4 * r.doc_id for r in found.collect())
+        assert int(spark.conf.get(names[0])) <= 512 and int(spark.conf.get(names[1]).rstrip("b")) <= 8 << 20
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
 def test_first_note_per_visit(spark):
     data = [
         (1, 10, "2020-01-02", "later but much longer"),
