@@ -268,6 +268,25 @@ def test_any_number_of_sources(docs):
         assert by_slot.setdefault(r.slot, r.source) == r.source
 
 
+def test_one_schedule_for_any_number_of_sources(docs):
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(1, 12), None, f"host{i % 1100:04}") for i in range(1500)]
+    plain = [("=" + source, hashlib.md5(str(i).encode()).hexdigest(), i, len(text)) for i, text, _, source in rows]
+    size = {}
+    for key, _, _, chars in plain:
+        size[key] = size.get(key, 0) + chars
+    placed = mixing.interleave(docs(rows), block_chars=8).collect()
+    got = [("=" + r.source, r.doc_id, r.start_char, r.block, r.slot, r.in_mix) for r in placed]
+    assert sorted(got, key=str) == placed_plainly(plain, {k: n**0.5 for k, n in size.items()}, 8)
+
+
+def test_deadlines_beyond_64_bits(spark):
+    rows = [(2, 3, 10), (1 << 18, 5, 1 << 60), (1 << 18, 1, 1 << 50), (0, 1, 1)]
+    table = spark.createDataFrame(rows, "block long, units long, total long")
+    found = table.select("*", mixing._far_deadline(F.col("block"), F.col("units"), F.col("total")).alias("due")).collect()
+    assert [r.due for r in found] == [min(-(-(b + 1) * t // u), mixing.FAR) for b, u, t in rows]
+
+
 def test_mixing_runs_no_python(docs, monkeypatch):
     plans = []
 
