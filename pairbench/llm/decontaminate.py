@@ -36,6 +36,7 @@ repeated rows repeat no result row. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -46,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbench.llm.common import _LOW_BYTES, Words, code_points, slices, text_of
+from pairbench.llm.common import _LOW_BYTES, Words, code_points, slices, text_bytes, text_of
 
 #: Edits allowed, in percent of the item's bytes: similarity of 0.8 or more.
 EDITS = 20
@@ -66,26 +67,22 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Normal:
-    """Normalised texts of an array, one after another, each ended by a zero byte."""
+    """Normalised texts of an array, one after another, each ended by a zero byte; empty ones have none."""
 
     def __init__(self, texts: pa.Array):
-        self.words = words = Words(texts, "space")
-        size = words.end - words.start
-        # Each word is followed by one byte: a space, or the end of its text.
-        begin = np.cumsum(size + 1) - (size + 1)
-        total = int((size + 1).sum())
-        self.data = np.full(total + 1, 32, np.uint8)
-        rows = np.repeat(words.start - begin, size)
-        place = np.arange(total)
-        inside = np.ones(total, bool)
-        inside[begin + size] = False
-        self.data[:total][inside] = words.lower[rows + place[inside]]
-        last = np.append(words.text[1:] != words.text[:-1], True) if len(size) else np.empty(0, bool)
-        self.data[(begin + size)[last]] = 0
-        self.data[total] = 0
-        self.begin = begin
-        bounds = np.searchsorted(words.text, np.arange(words.texts + 1))
-        self.bounds = np.append(begin, total)[bounds]
+        self.texts = texts
+        raw, offsets = text_bytes(texts)
+        # Of bytes, lower() takes ASCII letters only, and split() the white space of ``Words``.
+        lower, places = raw.tobytes().lower(), offsets.tolist()
+        plain = [b" ".join(lower[a:b].split()) for a, b in zip(places, places[1:])]
+        parts = [text + b"\0" if text else text for text in plain]
+        self.data = np.frombuffer(b"".join(parts) + b"\0", np.uint8)
+        self.bounds = np.cumsum([0, *map(len, parts)])
+
+    def origin(self, number: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Bytes of an original text, and the place and size of each of its words."""
+        words = Words(self.texts.slice(number, 1))
+        return self.texts[number].as_py().encode(), words.start, words.end - words.start
 
     def text(self, number: int) -> bytes:
         return self.data[self.bounds[number] : max(self.bounds[number], self.bounds[number + 1] - 1)].tobytes()
@@ -106,40 +103,51 @@ class Look:
 
 @dataclass
 class Walk:
-    """Random numbers of a walk: what each step adds to a key and how far it goes, by byte; the keys that sample a step."""
-
-    values: np.ndarray
-    moves: np.ndarray
-    samples: list[list[int]]
-
-    def keys(self, data: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The keys of the walks from places on, and the places where they end."""
-        place = start.copy()
-        keys = [np.zeros(len(start), np.uint64) for _ in range(TABLES)]
-        for value, move, sampled in zip(self.values, self.moves, self.samples):
-            symbol = data.take(place)
-            if sampled:
-                added = value.take(symbol)
-                for number in sampled:
-                    keys[number] += added
-            place += move.take(symbol)
-        return keys, place
+    """Random numbers of a walk for two steps at a time: what they add to its keys and, in the last column, to its place, by pair of bytes."""
 
+    steps: list[np.ndarray]
 
+    def keys(self, pairs: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the walks from places on, by table, and the places where they end; ``pairs`` are the two bytes at each place."""
+        state = np.zeros((len(start), TABLES + 1), np.uint32)
+        state[:, TABLES] = start
+        for step in self.steps:
+            state += step.take(pairs.take(state[:, TABLES]), axis=0)
+        return state[:, :TABLES].T, state[:, TABLES]
+
+
+@functools.cache
 def _walks() -> tuple[list[Walk], np.ndarray]:
-    """All walks, and the number of the walk that a pair of bytes picks."""
+    """All walks, and the number of the walk that a pair of bytes picks; each worker makes its own, as they have 32 MB."""
     rng = np.random.default_rng(5)
     walks = []
     for _ in range(WALKS):
-        values = rng.integers(0, 1 << 64, (STEPS, 256), np.uint64)
+        # Keys of 32 bits: one shared by chance costs a look at a candidate and no result.
+        values = rng.integers(0, 1 << 64, (STEPS, 256), np.uint64).astype(np.uint32)
         # Opposite bits in pairs of steps: no walk rests on a byte for long.
-        moves = rng.integers(0, 2, (STEPS // 2, 256)).astype(np.intp)
-        moves = np.stack([moves, 1 - moves], axis=1).reshape(STEPS, 256)
+        moves = rng.integers(0, 2, (STEPS // 2, 256)).astype(bool)
         tables = [set(rng.choice(STEPS, SAMPLES, replace=False).tolist()) for _ in range(TABLES)]
-        walks.append(Walk(values, moves, [[t for t in range(TABLES) if step in tables[t]] for step in range(STEPS)]))
+        steps = []
+        for first, moved in zip(range(0, STEPS, 2), moves):
+            step = np.zeros((256, 256, TABLES + 1), np.uint32)
+            for number, table in enumerate(tables):
+                if first in table:
+                    step[:, :, number] += values[first][:, None]
+                if first + 1 in table:
+                    # A walk that went on stands on the second byte, one that did not still on the first.
+                    step[:, :, number] += np.where(moved[:, None], values[first + 1], values[first + 1][:, None])
+            step[:, :, TABLES] = 1 + (moved[:, None] & ~moved)
+            steps.append(step.reshape(1 << 16, TABLES + 1))
+        walks.append(Walk(steps))
     return walks, rng.integers(0, WALKS, 1 << 16).astype(np.int8)
 
 
+def _pairs(data: np.ndarray) -> np.ndarray:
+    """The two bytes from each place on, as a number; the last place is left out."""
+    data = data.astype(np.intp)
+    return data[:-1] << 8 | data[1:]
+
+
 @dataclass
 class Table:
     """Keys of the items' walks in one table; those of key number k are ``pieces[first[k]:first[k + 1]]`` of the index."""
@@ -162,9 +170,6 @@ class Index:
     offset: np.ndarray
     groups: list[np.ndarray]
     looks: list[Look]
-    walks: list[Walk]
-    #: The walk that a pair of bytes picks.
-    picked: np.ndarray
     tables: list[Table]
     #: Pieces of keys, and how far after the start of the piece the key's bytes begin.
     pieces: np.ndarray
@@ -235,20 +240,17 @@ def index(ids: list, texts: list[str], percent: int = EDITS) -> Index:
                 pieces.append(pairs["piece"].copy())
                 known += len(pairs)
     shift = [np.zeros(known, np.int64)]
-    walks, picked = _walks()
-    tables = _tables(normal, begin, np.flatnonzero(~short), walks, picked, pieces, shift)
+    tables = _tables(normal, begin, np.flatnonzero(~short), pieces, shift)
     groups = [table[:, 4 + 3 * g : 7 + 3 * g].copy() for g in range(len(GROUPS))]
     pad = max([int(g[:, 1].max() + 2 * g[:, 2].max()) for g in groups if len(g)], default=0) + 2 * WIDTH + STEPS
     pieces, shift = (np.concatenate(c).astype(np.int32) for c in (pieces, shift))
     places = item.copy(), offset.copy()
     return Index(
-        ids, plain, normal.data, begin, *places, groups, looks, walks, picked, tables, pieces, shift, loose, pad
+        ids, plain, normal.data, begin, *places, groups, looks, tables, pieces, shift, loose, pad
     )
 
 
-def _tables(
-    normal: Normal, begin: np.ndarray, long: np.ndarray, walks: list, picked: np.ndarray, pieces: list, shift: list
-) -> list[Table]:
+def _tables(normal: Normal, begin: np.ndarray, long: np.ndarray, pieces: list, shift: list) -> list[Table]:
     """Keys of the walks from all places of the items that have the pieces ``long``; adds their pieces and shifts."""
     if not len(long):
         return []
@@ -259,13 +261,14 @@ def _tables(
     at = np.maximum(np.searchsorted(begin[long], place, side="right") - 1, 0)
     piece = long[at]
     inside = (np.diff(normal.bounds)[owner] > WALKED) & (place < ends[owner])
-    data = np.concatenate([normal.data, np.zeros(STEPS + 1, np.uint8)]).astype(np.intp)
-    picks = picked[data[place] << 8 | data[place + 1]]
+    walks, picked = _walks()
+    pairs = _pairs(np.concatenate([normal.data, np.zeros(STEPS + 1, np.uint8)]))
+    picks = picked[pairs[place]]
     found = []
     known = sum(map(len, pieces))
     for number, walk in enumerate(walks):
         start = np.flatnonzero(inside & (picks == number))
-        keys, last = walk.keys(data, start)
+        keys, last = walk.keys(pairs, start)
         whole = last <= ends[owner[start]]
         for table, key in enumerate(keys):
             order = np.flatnonzero(whole)[np.argsort(key[whole], kind="stable")]
@@ -309,12 +312,19 @@ def best_match(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def _filter_bits(keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
-    """A table of the leading bits of scrambled keys, and how far to shift for them."""
+def _leading(keys: np.ndarray, bits: int) -> np.ndarray:
+    """So many leading bits of keys; keys of walks are random numbers, those of looks are scrambled first."""
+    if keys.dtype == np.uint32:
+        return keys.astype(np.intp) >> (32 - bits)
+    return ((keys * _ODD) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _filter_bits(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """A table of the leading bits of keys, and how many."""
     bits = min(max(16, int(len(keys)).bit_length() + 5), 25)
-    table, shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
-    table[(keys * _ODD) >> shift] = True
-    return table, shift
+    table = np.zeros(1 << bits, bool)
+    table[_leading(keys, bits)] = True
+    return table, bits
 
 
 def _find(block: Index, percent: int):
@@ -337,8 +347,8 @@ def _find(block: Index, percent: int):
 
 def _known(keys: np.ndarray, place: np.ndarray | None, at: int, known: Look | Table, bits: tuple) -> tuple:
     """Of keys at places (or at all in order), those that items have: place counted from ``at``, first, length."""
-    seen, shift = bits
-    some = np.flatnonzero(seen[((keys * _ODD) >> shift).view(np.int64)])
+    seen, size = bits
+    some = np.flatnonzero(seen.take(_leading(keys, size)))
     key = keys[some]
     slot = np.minimum(np.searchsorted(known.keys, key), len(known.keys) - 1)
     hit = known.keys[slot] == key
@@ -351,6 +361,7 @@ def _candidates(data: np.ndarray, size: int, block: Index, filters: list) -> Ite
     tables = defaultdict(list)
     for table, bits in zip(block.tables, filters[len(block.looks) :]):
         tables[table.walk].append((table, bits))
+    walks, picked = _walks()
     for start in range(0, size, PLACES):
         found = []
         # One word more than places.
@@ -359,14 +370,14 @@ def _candidates(data: np.ndarray, size: int, block: Index, filters: list) -> Ite
             for at in range(0, len(words) - 1, STEP):
                 keys = _keys(words[at : at + STEP + 1], look.width, look.skip)
                 found.append(_known(keys, None, start + at, look, bits))
-        for at in range(start, min(start + PLACES, size) if tables else start, STEP):
-            count = min(STEP, size - at)
-            symbols = data[block.pad + at : block.pad + at + count + STEPS + 1].astype(np.intp)
-            picks = block.picked[symbols[:count] << 8 | symbols[1 : count + 1]]
+        if tables:
+            count = min(PLACES, size - start)
+            pairs = _pairs(data[block.pad + start : block.pad + start + count + STEPS + 1])
+            picks = picked.take(pairs[:count])
             for number, own in tables.items():
                 place = np.flatnonzero(picks == number)
-                keys, _ = block.walks[number].keys(symbols, place)
-                found += [_known(keys[table.number], place, at, table, bits) for table, bits in own]
+                keys, _ = walks[number].keys(pairs, place)
+                found += [_known(keys[table.number], place, start, table, bits) for table, bits in own]
         if found:
             yield tuple(np.concatenate(c) for c in zip(*found))
 
@@ -428,7 +439,7 @@ def _places(data: np.ndarray, size: int, block: Index, filters: list) -> Iterato
 
 def _matches(texts, block, filters, percent) -> dict:
     normal = Normal(texts)
-    words, size = normal.words, len(normal.data)
+    size = len(normal.data)
     data = np.zeros(size + 2 * block.pad + 16, np.uint8)
     data[block.pad : block.pad + size] = normal.data
     tries = {(text, item, 0, None) for item in block.loose for text in range(len(texts))}
@@ -450,7 +461,7 @@ def _matches(texts, block, filters, percent) -> dict:
             known[-1][1] = max(known[-1][1], high)
         else:
             known.append([low, high])
-    found = {}
+    found, origin = {}, functools.cache(normal.origin)
     for (text, item), known in spans.items():
         pattern = block.texts[item]
         for low, high in known:
@@ -458,21 +469,21 @@ def _matches(texts, block, filters, percent) -> dict:
             if edits <= len(pattern) * percent // 100:
                 back, length = best_match(pattern[::-1], normal.data[low : low + stop][::-1].tobytes())
                 begins, ends = low + stop - length, low + stop
-                rank = (edits, *_span(words, normal, text, texts[text], begins, ends))
+                rank = (edits, *_span(origin(text), begins - normal.bounds[text], ends - normal.bounds[text]))
                 found[text, item] = min(found.get((text, item), rank), rank)
     return found
 
 
-def _span(words, normal, text: int, value, begins: int, ends: int) -> tuple[int, int]:
-    """Code points of the original text for a span of the normalised one."""
-    data = value.as_py().encode()
+def _span(origin: tuple[bytes, np.ndarray, np.ndarray], begins: int, ends: int) -> tuple[int, int]:
+    """Code points of an original text for a span of the normalised one."""
+    data, start, size = origin
+    begin = np.cumsum(size + 1) - (size + 1)
 
-    def origin(place: int) -> int:
-        word = np.searchsorted(normal.begin, place, side="right") - 1
-        inner = min(place - normal.begin[word], words.end[word] - words.start[word])
-        return int(words.start[word] + inner - words.offsets[text])
+    def place(at: int) -> int:
+        word = np.searchsorted(begin, at, side="right") - 1
+        return int(start[word] + min(at - begin[word], size[word]))
 
-    return code_points(data, origin(begins)), code_points(data, origin(ends - 1) + 1)
+    return code_points(data, place(begins)), code_points(data, place(ends - 1) + 1)
 
 
 def contaminated(

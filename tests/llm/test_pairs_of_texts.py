@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -348,3 +349,72 @@ def test_normalised_texts():
     texts = pa.array([" Ab  c\n", "", "é\tD", "x"])
     normal = decontaminate.Normal(texts)
     assert [normal.text(i).decode() for i in range(4)] == ["ab c", "", "é d", "x"]
+
+
+def stepped(data, start, picked):
+    """The walks one step at a time: keys in each table and last places, from the same random numbers."""
+    rng = np.random.default_rng(5)
+    steps, keys, last = decontaminate.STEPS, np.zeros((decontaminate.TABLES, len(start)), np.uint32), start.copy()
+    for number in range(decontaminate.WALKS):
+        values = rng.integers(0, 1 << 64, (steps, 256), np.uint64).astype(np.uint32)
+        moves = rng.integers(0, 2, (steps // 2, 256)).astype(np.intp)
+        sampled = [rng.choice(steps, decontaminate.SAMPLES, replace=False).tolist() for _ in range(decontaminate.TABLES)]
+        own = np.flatnonzero(picked == number)
+        place, sums = start[own], [np.zeros(len(own), np.uint32) for _ in sampled]
+        for step in range(steps):
+            symbol = data.take(place)
+            value = values[step].take(symbol)
+            for table in range(decontaminate.TABLES):
+                if step in sampled[table]:
+                    sums[table] += value
+            move = moves[step // 2].take(symbol)
+            place += 1 - move if step % 2 else move
+        keys[:, own], last[own] = sums, place
+    return keys, last
+
+
+def in_pairs(data, start, picked):
+    walks, _ = decontaminate._walks()
+    pairs, keys, last = decontaminate._pairs(data), np.zeros((decontaminate.TABLES, len(start)), np.uint32), start.copy()
+    for number, walk in enumerate(walks):
+        own = np.flatnonzero(picked == number)
+        keys[:, own], last[own] = walk.keys(pairs, start[own])
+    return keys, last
+
+
+def test_walks_by_pairs_of_bytes():
+    """Two steps at a time are the same walks, in well under the CPU time of single steps."""
+    rng = np.random.default_rng(7)
+    text = rng.choice(np.frombuffer(b"etaoinshrdlu  ", np.uint8), 200_000)
+    data = np.concatenate([text, rng.integers(0, 256, 50_000, np.uint8), np.zeros(decontaminate.STEPS + 2, np.uint8)])
+    start = np.arange(250_000)
+    _, numbers = decontaminate._walks()
+    picked = numbers[decontaminate._pairs(data)[start]]
+    assert set(picked.tolist()) == set(range(decontaminate.WALKS))
+    took = {}
+    for walk in (stepped, in_pairs):
+        wide = data.astype(np.intp)
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            found = walk(wide, start, picked)
+            times.append(time.process_time() - began)
+        took[walk] = min(times), found
+    (plain, (keys, last)), (quick, (keys2, last2)) = took[stepped], took[in_pairs]
+    assert (keys == keys2).all() and (last == last2).all()
+    assert quick < 0.7 * plain
+
+
+def test_normalised_texts_of_any_bytes(spark, docs):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aB\u00c9\u4e00 \t\n\x0b\x0c\r\x00\x1c\x85\u2003") for _ in range(rng.randrange(12))) for _ in range(300)]
+    normal = decontaminate.Normal(pa.array(["cut off", *texts]).slice(1))
+    for number, text in enumerate(texts):
+        assert normal.text(number) == b" ".join(re.findall(rb"[^ \t-\r]+", text.translate(_LOWER).encode()))
+    # Spans are those of the original text, whatever was left out before them.
+    item = "what is the capital city of the country where these words were written"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    before = "\u00c9 \u4e00\n\n\t  x"
+    rows = [(1, f"{before}  {item.replace(' ', ' \r\n').upper()} \u00c9"), (2, f"{before} {item}")]
+    found = {r.doc_id: r for r in decontaminate.contaminated(docs(rows), bench).collect()}
+    assert {i: dict(rows)[i][r.start : r.finish] for i, r in found.items()} == {1: item.replace(" ", " \r\n").upper(), 2: item}
